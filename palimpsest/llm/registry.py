@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import langid, toxicity
+from palimpsest.llm import decontaminate, langid, packing, tokencount, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_packing": packing.op2_packing,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op8_tokencount": tokencount.op8_tokencount,
 }
 ORACLES: dict[str, str] = {}
