@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, langid, packing, tokencount, toxicity
+from palimpsest.llm import decontaminate, langid, mpegts, packing, sharding, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_packing": packing.op2_packing,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op7_sharding": sharding.op7_sharding,
     "op8_tokencount": tokencount.op8_tokencount,
+    "op9_warc": warc.op9_warc,
+    "op10_mpegts": mpegts.op10_mpegts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_warc": warc.ORACLE}
