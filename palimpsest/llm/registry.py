@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, langid, mpegts, packing, sharding, tokencount, toxicity, warc
+from palimpsest.llm import decontaminate, langid, lattice, mpegts, packing, sharding, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_packing": packing.op2_packing,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op6_lattice": lattice.op6_lattice,
     "op7_sharding": sharding.op7_sharding,
     "op8_tokencount": tokencount.op8_tokencount,
     "op9_warc": warc.op9_warc,
