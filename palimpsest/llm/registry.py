@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, langid, lattice, mpegts, packing, sharding, tokencount, toxicity, warc
+import corpus_pipeline
+from palimpsest.llm import decontaminate, jaccard, langid, lattice, mpegts, packing, sharding, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_packing": packing.op2_packing,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op6_lattice": lattice.op6_lattice,
     "op7_sharding": sharding.op7_sharding,
     "op8_tokencount": tokencount.op8_tokencount,
     "op9_warc": warc.op9_warc,
     "op10_mpegts": mpegts.op10_mpegts,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op9_warc": warc.ORACLE}
