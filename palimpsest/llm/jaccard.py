@@ -192,8 +192,9 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def _compare(node, comp, n, bits, own, first: int, second: int, out: list) -> None:
-    """Pairs of a tile block, of different components, whose bit counts allow a link."""
+def _compare(key: int, node, comp, n, bits, tiles, own, first: int, second: int, out: list) -> None:
+    """Pairs of a tile block, of different components, whose bit counts allow a link; each in the first tile that both have."""
+    tiles = [np.array(t) for t in tiles]
     width = min(len(b) for b in bits)
     b = np.stack([_fold(np.frombuffer(x, np.uint8), width) for x in bits]).view(np.uint64)
     n, comp, own = np.array(n), np.array(comp), np.array(own)
@@ -211,19 +212,20 @@ def _compare(node, comp, n, bits, own, first: int, second: int, out: list) -> No
         only_j = np.bitwise_count(b[j] & ~b[i]).sum(1, dtype=np.int64)
         bound = np.minimum(n[i] - only_i, n[j] - only_j)
         for k in j[190 * bound >= 90 * (n[i] + n[j])].tolist():
-            out.append((min(node[i], node[k]), max(node[i], node[k])))
+            if np.intersect1d(tiles[i], tiles[k], assume_unique=True)[0] == key:
+                out.append((min(node[i], node[k]), max(node[i], node[k])))
 
 
 def _block_rows(batches):
-    """Rows (key, first, second, own, node, comp, n, bits) sorted by block to candidate pairs."""
+    """Rows (key, first, second, own, node, comp, n, bits, tiles) sorted by block to candidate pairs."""
     held: list[list] = []
     at = None
 
     def done():
         out: list[tuple[int, int]] = []
         if len(held) > 1:
-            own, node, comp, n, bits = zip(*held)
-            _compare(node, comp, n, bits, own, at[1], at[2], out)
+            own, node, comp, n, bits, tiles = zip(*held)
+            _compare(at[0], node, comp, n, bits, tiles, own, at[1], at[2], out)
         pairs = sorted(set(out))
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["x", "y"])
 
@@ -251,9 +253,11 @@ def residual_candidates(rows: DataFrame, comps: DataFrame, arrays: DataFrame) ->
     member = rows.join(tiles, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     # A node meets each block of its tile once: as the first side or the second.
     member = member.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("second"), "own", "node", "comp")
-    full = member.join(arrays.select("node", "n", "bits"), "node").select("key", "first", "second", "own", "node", "comp", "n", "bits")
+    # A set has no more tiles than it has parts.
+    known = arrays.select("node", "n", "bits").join(rows.join(tiles, "key").groupBy("node").agg(F.collect_list("key").alias("tiles")), "node")
+    full = member.join(known, "node").select("key", "first", "second", "own", "node", "comp", "n", "bits", "tiles")
     full = full.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
-    return full.mapInArrow(_block_rows, "x long, y long").distinct()
+    return full.mapInArrow(_block_rows, "x long, y long")
 
 
 def join_near(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
