@@ -6,6 +6,9 @@ crosses to Python; null text gives no spans.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,13 @@ def pattern_spans(text: Column, name: str, pattern: str, priority: int) -> Colum
         F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + F.length(x["hit"])).alias("end"), F.lit(name).alias("entity_type"), x["hit"].alias("matched"), F.lit(priority).alias("priority")))).alias("out"),
     )
     folded = F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.isNotNull() & text.rlike(pattern), folded).otherwise(F.array().cast(SPAN))
+    gate = P.GATES.get(name)
+    maybe = text.isNotNull()
+    if isinstance(gate, str):
+        maybe &= text.rlike(gate)
+    elif gate:
+        maybe &= reduce(or_, [text.contains(g) for g in gate])
+    return F.when(maybe & text.rlike(pattern), folded).otherwise(F.array().cast(SPAN))
 
 
 def entropy(token: Column) -> Column:
