@@ -37,7 +37,7 @@ FAMILIES = {
     "indo-aryan": ("bn", "gu", "hi", "mr", "ne", "pa", "si", "ur"),
 }
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
-BITS = 13
+BITS = 12
 DIM = 1 << BITS
 _LETTER = regex.compile(r"\p{L}")
 
@@ -57,7 +57,7 @@ _FOLD = _fold_table()
 class Params:
     """max_rows: bound of the labelled training sample; families: code to family."""
 
-    max_rows: int = 4000
+    max_rows: int = 3000
     cost: float = 50.0
     passes: int = 12
     families: dict = field(default_factory=lambda: dict(_FAMILY_OF))
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, params: Params = Params()) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` to the columns of docs, which must hold ``text``; no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # machines * 64 KiB
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # machines * 32 KiB
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     docs = docs.select(*names)
     text_at = names.index("text")

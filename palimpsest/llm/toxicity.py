@@ -36,10 +36,10 @@ FEATURES = "row long, feature long"
 class Params:
     """max_positive, max_unlabelled: bounds of the training sample, in rows. max_features: bound of the model."""
 
-    max_positive: int = 3000
-    max_unlabelled: int = 6000
+    max_positive: int = 1500
+    max_unlabelled: int = 3000
     max_features: int = 1024
-    min_z: float = 8.0
+    min_z: float = 7.0
     rounds: int = 200
     rate: float = 0.3
     l2: float = 1e-5
