@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import detection, governance
+from palimpsest.plans import detection, governance, streams
 
-_MODULES = (detection, governance)
+_MODULES = (detection, governance, streams)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
