@@ -32,5 +32,5 @@ def usage_windows(spark, d):
 QUERIES = {f.__name__: f for f in (sse_parse, token_buckets, usage_windows)}
 ORACLES = {
     "sse_parse": "SELECT item_id, 2 AS n_events, md5(translate(text, chr(13) || chr(10), '  ') || chr(10) || 'x|') AS events_md5 FROM benchmark",
-    "usage_windows": "SELECT (epoch(ts)::BIGINT // 3600) * 3600 AS window_start, user_id, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+    "usage_windows": "SELECT floor(epoch(ts) / 3600)::BIGINT * 3600 AS window_start, user_id, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
 }
