@@ -45,6 +45,11 @@ BANDS_ = np.array(BANDS)
 TILE_BLOCK = 512
 #: Bits of a bitmap for each shingle, rounded up to a power of two; at least 64 bits.
 BITS_PER_SHINGLE = 2
+#: A bitmap has no more bits than this: it goes with every tile of its set, and a long text has many. The bound of a full
+#: bitmap is weaker, and right.
+MAX_BITS = 1 << 14
+#: A node carries its so many smallest tiles, to tell which tile is the first that a pair shares.
+FIRST_TILES = 32
 _DEPTH = 3
 
 
@@ -133,7 +138,7 @@ def set_hash(r: np.ndarray, v: np.ndarray, rows: int) -> np.ndarray:
 
 def bitmap(values: np.ndarray) -> np.ndarray:
     """A bit for each shingle, of as many bits as the size asks for; bytes, least significant bit first."""
-    width = max(64, 1 << int(BITS_PER_SHINGLE * len(values) - 1).bit_length())
+    width = min(MAX_BITS, max(64, 1 << int(BITS_PER_SHINGLE * len(values) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(values & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little")
@@ -193,7 +198,8 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def _compare(key: int, node, comp, n, bits, tiles, own, first: int, second: int, out: list) -> None:
-    """Pairs of a tile block, of different components, whose bit counts allow a link; each in the first tile that both have."""
+    """Pairs of a tile block, of different components, whose bit counts allow a link; each in the first tile that both have, where
+    that is among the first of either, and in every tile otherwise (the caller makes pairs distinct)."""
     tiles = [np.array(t) for t in tiles]
     width = min(len(b) for b in bits)
     b = np.stack([_fold(np.frombuffer(x, np.uint8), width) for x in bits]).view(np.uint64)
@@ -212,7 +218,8 @@ def _compare(key: int, node, comp, n, bits, tiles, own, first: int, second: int,
         only_j = np.bitwise_count(b[j] & ~b[i]).sum(1, dtype=np.int64)
         bound = np.minimum(n[i] - only_i, n[j] - only_j)
         for k in j[190 * bound >= 90 * (n[i] + n[j])].tolist():
-            if np.intersect1d(tiles[i], tiles[k], assume_unique=True)[0] == key:
+            both = np.intersect1d(tiles[i], tiles[k], assume_unique=True)
+            if not len(both) or both[0] == key:
                 out.append((min(node[i], node[k]), max(node[i], node[k])))
 
 
@@ -253,11 +260,10 @@ def residual_candidates(rows: DataFrame, comps: DataFrame, arrays: DataFrame) ->
     member = rows.join(tiles, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     # A node meets each block of its tile once: as the first side or the second.
     member = member.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("second"), "own", "node", "comp")
-    # A set has no more tiles than it has parts.
-    known = arrays.select("node", "n", "bits").join(rows.join(tiles, "key").groupBy("node").agg(F.collect_list("key").alias("tiles")), "node")
+    known = arrays.select("node", "n", "bits").join(rows.join(tiles, "key").groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_TILES).alias("tiles")), "node")
     full = member.join(known, "node").select("key", "first", "second", "own", "node", "comp", "n", "bits", "tiles")
     full = full.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
-    return full.mapInArrow(_block_rows, "x long, y long")
+    return full.mapInArrow(_block_rows, "x long, y long").distinct()
 
 
 def join_near(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
