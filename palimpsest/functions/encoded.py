@@ -12,7 +12,7 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -67,13 +67,15 @@ def unescape_all(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda row: [html.unescape(t) for t in row], na_action="ignore")
 
 
-def entity_spans(text: Column) -> Column:
-    """Only texts with a candidate cross to Python, and of them the candidates only."""
-    candidates = D.pattern_spans(text, "ENTITY_OBFUSCATED_PII", ENTITY, len(P.BUILT_IN) + 3)
+def with_entity_spans(df: DataFrame, text: str = "text", out: str = "entity_spans") -> DataFrame:
+    """df with a column of spans. Only texts with a candidate cross to Python, and of them the candidates only."""
+    once = lambda c: F.explode(F.array(c))
+    candidates = D.pattern_spans(F.col(text), "ENTITY_OBFUSCATED_PII", ENTITY, len(P.BUILT_IN) + 3)
     probes = F.flatten(F.transform(candidates, lambda s: F.transform(edges(s["matched"]), lambda e: F.struct(s.alias("s"), e.alias("e")))))
-    plain = unescape_all(F.when(F.size(probes) > 0, F.transform(probes, lambda p: p["e"])))
-    hits = F.filter(F.zip_with(probes, plain, lambda p, d: F.struct(p["s"].alias("s"), (holds_value(d) & (d != p["e"])).alias("hit"))), lambda x: x["hit"])
-    return F.when(F.size(probes) > 0, F.array_distinct(F.transform(hits, lambda x: x["s"]))).otherwise(F.array().cast(D.SPAN))
+    d = df.withColumn("_probes", once(probes)).withColumn("_plain", unescape_all(F.when(F.size("_probes") > 0, F.transform("_probes", lambda p: p["e"]))))
+    d = d.withColumn("_plain", F.coalesce("_plain", F.array().cast("array<string>")))
+    hits = F.filter(F.zip_with("_probes", "_plain", lambda p, x: F.struct(p["s"].alias("s"), (holds_value(x) & (x != p["e"])).alias("hit"))), lambda x: x["hit"])
+    return d.withColumn(out, F.array_distinct(F.transform(hits, lambda x: x["s"]))).drop("_probes", "_plain")
 
 
 def unescape(text: Column) -> Column:
