@@ -144,6 +144,61 @@ def test_lattice_base_counts_and_marginals(spark):
         assert r.score < 0
 
 
+def test_lattice_sums_all_segmentations():
+    from palimpsest.llm.blocks import Block
+
+    words = [b" ab", b" the", b" naive", " é".encode(), b" " + b"q" * 40]
+    cuts = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+    block = Block(np.frombuffer(b"".join(words), np.uint8), cuts, 0, np.zeros(len(words), bool))
+    pieces = lattice.Pieces.existing(P.path("piece_bpe_32k.model"))
+    other = lattice.Pieces(pieces.hashes, pieces.logp - 0.5, pieces.byte_logp, pieces.end_logp)
+
+    def piece(m, raw):
+        b = Block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 0, np.zeros(1, bool))
+        i = np.searchsorted(m.hashes, b.hashes(np.array([0]), np.array([len(raw)]))[0])
+        return m.logp[i] if i < len(m.hashes) and m.hashes[i] == b.hashes(np.array([0]), np.array([len(raw)]))[0] else -np.inf
+
+    def brute(m, raw):
+        alpha = [0.0] + [-np.inf] * len(raw)
+        for to in range(1, len(raw) + 1):
+            alpha[to] = alpha[to - 1] + m.byte_logp[raw[to - 1]]
+            for size in range(1, min(to, lattice.LONGEST) + 1):
+                alpha[to] = np.logaddexp(alpha[to], alpha[to - size] + piece(m, raw[to - size : to]))
+        return alpha[-1]
+
+    got = lattice.marginals(block, [pieces, other])
+    assert np.allclose(got, [[brute(m, w) for m in (pieces, other)] for w in words])
+
+
+def test_lattice_arcs_and_segmentations_sum_to_one():
+    counts = np.array([5, 2, 2, 1, 1, 1])
+    arcs = lattice.Arcs.of(len(counts), int(counts.sum()) + 3, 3, 2)
+    spelt = np.log(np.full(6, 1 / 6))
+    assert np.exp(arcs.add(spelt, counts)).sum() + 3 / arcs.total == pytest.approx(1)
+    assert lattice.Arcs.of(0, 0, 0, 0).share == 1
+
+
+def test_lattice_groups_beat_the_base_and_ignore_the_scored_row(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(600):
+        parts = ["ba", "ne", "lo", "ti"] if i % 2 else ["krz", "ow", "ich", "sta"]
+        rows.append((i, " ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(40)), ("x", "y")[i % 2] if i % 7 else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    run = lambda d, **k: {r.doc_id: (r.score, r.base_score) for r in lattice.score(d, F.col("doc_id") % 5 != 1, P.path("piece_bpe_32k.model"), **k).collect()}
+    got = run(df, group="lang")
+    held = [i for i in got if i % 5 == 1]
+    assert sum(got[i][0] for i in held) > sum(got[i][1] for i in held)
+    hidden = df.withColumn("lang", F.when(F.col("doc_id") % 5 != 1, F.col("lang")))
+    assert {i: pytest.approx(x) for i, x in run(hidden, group="lang").items()} == got
+    nothing = spark.createDataFrame([], df.schema)
+    assert run(nothing, group="lang") == {}
+    untrained = lattice.score(df.limit(3), F.lit(False), P.path("piece_bpe_32k.model"), group="lang").collect()
+    assert len(untrained) == 3 and all(r.score < 0 and r.n_known == 0 and r.train_tokens == 0 for r in untrained)
+
+
 def test_shards_are_exact(spark):
     texts, df = corpus(spark)
     from pyspark.sql import functions as F
