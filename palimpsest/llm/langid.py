@@ -263,8 +263,16 @@ def op1_langid(spark, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model).select("doc_id", (shared.crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a recognisable language go (null, no letter)."""
+def stage(spark, docs: DataFrame, sf_dir: str, min_score: float = 0.4) -> DataFrame:
+    """Pipeline stage: documents go whose language is not recognised.
+
+    Those are null texts, texts without a letter, and texts whose best language
+    the model gives less than ``min_score``. The
+    declared language decides nothing about its own row beyond training.
+    """
     shared.prepare(spark)
     model = fit(docs.where(shared.crc_fold("doc_id", 4) != 2))
-    return predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    if not model.langs:
+        # Nothing to learn from: only what has no letter is rejected.
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)

@@ -251,6 +251,21 @@ def test_classifiers_on_odd_rows_and_held_out(spark):
     assert [lang[1000 + k][0] for k in range(4)] == ["und"] * 4
 
 
+def test_language_stage_rejects_unrecognised_texts_only(spark):
+    rng = random.Random(4)
+    words = {"en": ["the%d" % i for i in range(30)], "fr": ["été%d" % i for i in range(30)]}
+    rows = [(i, " ".join(rng.choices(words[l], k=25)), l) for i, l in enumerate(["en", "fr"] * 60)]
+    odd = [(1000, None, "en"), (1001, "12 34 !!", "en"), (1002, "", None), (1003, " ".join(words["fr"]), None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    kept = langid.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} | {1003}
+    assert langid.stage(spark, docs, "", min_score=1.1).count() == 0
+    unlabelled = langid.stage(spark, docs.select("doc_id", "text").selectExpr("*", "cast(null as string) lang"), "")
+    assert {r.doc_id for r in unlabelled.collect()} == {r[0] for r in rows} | {1003}
+    assert langid.stage(spark, docs.where("false"), "").count() == 0
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], COLUMNS)
     bench = spark.createDataFrame([], "item_id long, text string")
