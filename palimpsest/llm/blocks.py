@@ -98,12 +98,21 @@ class Block:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte spans: equal bytes, equal hashes, wherever they stand."""
+        return self.span_hashes()(starts, ends)
+
+    def span_hashes(self):
+        """hashes() as a function that may be called again and again, over sums made once."""
         up, down = _powers(len(self.data) + 1)
         with np.errstate(over="ignore"):
             total = np.zeros(len(self.data) + 1, np.uint64)
             np.cumsum(BYTE_VALUE[self.data] * up[: len(self.data)], out=total[1:])
-            h = (total[ends] - total[starts]) * down[starts]
-            return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+        def of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            with np.errstate(over="ignore"):
+                h = (total[ends] - total[starts]) * down[starts]
+                return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+        return of
 
 
 def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[Block]:
