@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import detection, governance, payloads, streams
+from palimpsest.plans import detection, governance, payloads, streams, submissions
 
-_MODULES = (detection, governance, streams, payloads)
+_MODULES = (detection, governance, streams, payloads, submissions)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

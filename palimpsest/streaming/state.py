@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -39,6 +40,46 @@ def retain(stream: DataFrame, pattern: str, window: int = 64, mark: str = "[X]")
     return stream.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, text string", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
+def join_masked(tail: str, fragment: str, rx: re.Pattern, mark: str, window: int) -> str:
+    """The fragment without what it completes of a value that began in the tail, which has been given out already."""
+    head, probe = tail[-window:], tail[-window:] + fragment[:window]
+    reach = max((m.end() for m in rx.finditer(probe) if m.start() < len(head) < m.end()), default=-1)
+    return fragment if reach < 0 else mark + fragment[reach - len(head) :]
+
+
+def sibling_paths(stream: DataFrame, pattern: str, window: int = 64, max_paths: int = 64, mark: str = "[X]") -> DataFrame:
+    """stream(stream_id, seq, path, fragment, is_final): masks values that later fragments of one path complete.
+
+    Nothing is held back: of a value cut apart, the part that completes it is masked. Values inside one fragment are
+    the scan of single events' concern. State: the last ``window`` characters of each of the ``max_paths`` paths seen
+    last; ``evictions`` counts the paths forgotten so far. An empty or null fragment changes no memory.
+    """
+    rx = re.compile(pattern)
+
+    def run(key, chunks: Iterator[pd.DataFrame], state: GroupState):
+        tails, evicted = json.loads(state.get[0]) if state.exists else ({}, 0)
+        rows, out, final = [], [], False
+        for pdf in chunks:
+            rows += list(zip(pdf["seq"], pdf["path"].fillna(""), pdf["fragment"].fillna(""), pdf["is_final"].fillna(False)))
+        for seq, path, fragment, last in sorted(rows, key=lambda r: r[0]):
+            if fragment:
+                tail = tails.pop(path, "")
+                fragment = join_masked(tail, fragment, rx, mark, window)
+                tails[path] = (tail + fragment)[-window:]
+                if len(tails) > max_paths:
+                    del tails[next(iter(tails))]
+                    evicted += 1
+            out.append((key[0], int(seq), path, fragment, evicted))
+            final = final or bool(last)
+        if final:
+            state.remove()
+        else:
+            state.update((json.dumps([tails, evicted]),))
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "path", "text", "evictions"])
+
+    return stream.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, path string, text string, evictions long", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def token_bucket(events: DataFrame, key: str, ts: str, rate: float, burst: float, cost: str | None = None) -> DataFrame:
     """Batch: (key, event_id, allowed) of a bucket refilled by ``rate`` a second up to ``burst``; an event takes one token or
     its cost. The clamp makes each key a fold over its events in order; keys are independent."""

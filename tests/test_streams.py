@@ -28,3 +28,16 @@ def test_stream_equals_whole(spark, tmp_path, cut):
     q.awaitTermination(120)
     out = "".join(r.text for r in spark.table(f"t{cut}").orderBy("seq").collect())
     assert out == text.replace("900-55-1234", "[X]")
+
+
+def test_sibling_paths_mask_what_completes_a_value(spark, tmp_path):
+    schema = "stream_id string, seq long, path string, fragment string, is_final boolean"
+    path = str(tmp_path / "in")
+    rows = [("s", 0, "a", "id 900-5", False), ("s", 1, "b", "5-1234 no", False), ("s", 2, "a", "5-1234 yes", False), ("s", 3, "a", "", False), ("s", 4, None, None, False), ("s", 5, "c", "x", False), ("s", 6, "d", "y", True)]
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = state.sibling_paths(stream, r"\d{3}-\d{2}-\d{4}", 16, max_paths=2).writeStream.format("memory").queryName("paths").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = [(r.path, r.text, r.evictions) for r in spark.table("paths").orderBy("seq").collect()]
+    assert got == [("a", "id 900-5", 0), ("b", "5-1234 no", 0), ("a", "[X] yes", 0), ("a", "", 0), ("", "", 0), ("c", "x", 1), ("d", "y", 2)]
