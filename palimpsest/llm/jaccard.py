@@ -1,13 +1,16 @@
 """Near-duplicate join by the Jaccard similarity of word n-gram sets.
 
-Every pair of different sets with a similarity of at least 90 per cent is
-linked, whatever the sizes of groups:
+A rule gives the words of a shingle and the least similarity t: op5 links
+3-word sets from 90 per cent on, the pipeline's stage 5-word sets from 80. Every
+pair of different sets that is at least so similar is linked, whatever the sizes
+of groups:
 
 1. Equal sets are one node. A node's size falls into a band. Two linked sets of
-   sizes a <= b differ in at most (a + b) / 19 shingles, and b <= a / 0.9, so at
-   the band of the smaller the shingles, dealt by hash to one part more than
-   that, agree in some part. A tile is (band, part, content of the part): the
-   nodes of a tile are the only candidates.
+   sizes a <= b differ in at most (a + b)(1 - t) / (1 + t) shingles, and b <= a / t,
+   so in at most a(1 - t) / t (a / 9 at 90 per cent, a / 4 at 80). At the band of
+   the smaller, shingles are dealt by hash to so many parts that more parts than
+   that are in use: one in use agrees. A tile is (band, part, content of the
+   part): the nodes of a tile are the only candidates.
 2. Each node is tried against the hub of the tiles it shares with one most
    often; these links already join most groups into one component.
 3. Tiles whose nodes lie in different components are gone through in blocks of
@@ -26,6 +29,9 @@ doc_id of a component names it.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,12 +41,8 @@ from palimpsest.llm import shared
 from palimpsest.llm.blocks import NOT_SPACE, Block, blocks, mix64
 from palimpsest.llm.components import components
 
-#: Smallest sizes of the bands; each next one is at least 10/9 of the one before, as the theorem above needs.
+#: Each band's smallest size is at least so many times that of the one before.
 BAND_RATIO = 1.4
-BANDS = [1, 9]
-while BANDS[-1] < 1 << 31:
-    BANDS.append(int(np.ceil(BANDS[-1] * BAND_RATIO)))
-BANDS_ = np.array(BANDS)
 #: Nodes of a tile that are compared in one block.
 TILE_BLOCK = 512
 #: Bits of a bitmap for each shingle, rounded up to a power of two; at least 64 bits.
@@ -50,16 +52,53 @@ BITS_PER_SHINGLE = 2
 MAX_BITS = 1 << 14
 #: A node carries its so many smallest tiles, to tell which tile is the first that a pair shares.
 FIRST_TILES = 32
-_DEPTH = 3
+#: Deals of a set that has too few parts in use; after the last one its empty parts are tiles too.
+_DEALS = 8
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle, the per cent of similarity from which sets are linked, and what follows from them."""
+
+    words: int = 3
+    percent: int = 90
+    #: Smallest sizes of the bands; a linked smaller set is in the band of the larger one or the one below.
+    bands: np.ndarray = field(init=False, repr=False, compare=False)
+
+    def __post_init__(self):
+        bands = [1, 9]
+        while bands[-1] < 1 << 31:
+            bands.append(int(np.ceil(bands[-1] * max(BAND_RATIO, 100 / self.percent))))
+        object.__setattr__(self, "bands", np.array(bands))
 
+    def differ(self, n: int) -> int:
+        """Shingles that a set of n and a set linked with it can differ by."""
+        return n * (100 - self.percent) // self.percent
 
-def parts_of(band: int) -> int:
-    """Parts at a band: one more than two linked sets, the smaller in this band, can differ by."""
-    return (BANDS[band + 1] - 1) // 9 + 1
+    @lru_cache(maxsize=None)  # noqa: B019
+    def parts_of(self, band: int) -> int:
+        """Parts at a band: so many that of the largest sets nearly all have more parts in use than differ() allows to change."""
+        n = int(self.bands[band + 1]) - 1
+        m = self.differ(n) + 1
+        while m > 1:
+            load = n / m
+            used, spread = m * -np.expm1(-load), np.sqrt(m * np.exp(-load) * (1 - (1 + load) * np.exp(-load)))
+            if used - 3 * spread > self.differ(n):
+                break
+            m += 1 + m // 64
+        return m
 
+    def may_link(self, small, large):
+        """Whether sizes allow a link."""
+        return 100 * small >= self.percent * large
 
-def linked(common: int, a: int, b: int) -> bool:
-    return 100 * common >= 90 * (a + b - common)
+    def linked(self, common, a, b):
+        """Whether sets of a and b shingles are linked, or can be where common is a bound from above."""
+        return (100 + self.percent) * common >= self.percent * (a + b)
+
+
+OP5 = Rule(3, 90)
+STAGE = Rule(5, 80)
 
 
 def shingles(block: Block, n: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -101,29 +140,32 @@ def _salt(*numbers: int) -> np.uint64:
     return x[0]
 
 
-def _part_keys(values: np.ndarray, band: int, path: tuple[int, ...] = ()) -> list[np.ndarray]:
-    """Tile keys of one set at a band. An empty part says little: it is divided anew under another hash."""
-    m = parts_of(band)
-    with np.errstate(over="ignore"):
-        x = mix64(values ^ _salt(77, *path))
-        part = ((x >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        total = np.zeros(m, np.uint64)
-        np.add.at(total, part, mix64(x))
-        size = np.bincount(part, minlength=m)
-        keys = mix64(total + size.astype(np.uint64) + _salt(band, *path) + np.arange(m, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    out = [keys[size > 0]]
-    for p in np.flatnonzero(size == 0).tolist():
-        out += _part_keys(values, band, (*path, p)) if len(path) + 1 < _DEPTH else [keys[p : p + 1]]
-    return out
-
-
-def tile_keys(values: np.ndarray) -> np.ndarray:
+def _part_keys(values: np.ndarray, rule: Rule, band: int) -> list[np.ndarray]:
+    """Tile keys of one set at a band: those of its parts in use. Where these are no more than what linked sets can differ by, all
+    that agrees may be empty: the set is dealt anew under another hash, as is any set linked with it for which the same holds."""
+    m, out = rule.parts_of(band), []
+    most = rule.differ(min(len(values), int(rule.bands[band + 1]) - 1))  # the smaller set of a link is in the band
+    for deal in range(_DEALS):
+        with np.errstate(over="ignore"):
+            x = mix64(values ^ _salt(77, deal))
+            part = ((x >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+            total = np.zeros(m, np.uint64)
+            np.add.at(total, part, mix64(x))
+            size = np.bincount(part, minlength=m)
+            keys = mix64(total + size.astype(np.uint64) + _salt(band, deal) + np.arange(m, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        out.append(keys[size > 0])
+        if len(out[-1]) > most:
+            return out
+    return [*out, keys[size == 0]]  # what agrees in the last deal may be empty
+
+
+def tile_keys(values: np.ndarray, rule: Rule) -> np.ndarray:
     """All tile keys of a set: at its band, and at the band below where a linked smaller set may be."""
     n = len(values)
-    band = int(np.searchsorted(BANDS_, n, side="right")) - 1
-    out = _part_keys(values, band)
-    if band and 9 * n < 10 * BANDS[band]:  # a set of 0.9 n shingles is in the band below
-        out += _part_keys(values, band - 1)
+    band = int(np.searchsorted(rule.bands, n, side="right")) - 1
+    out = _part_keys(values, rule, band)
+    if band and rule.percent * n < 100 * int(rule.bands[band]):  # the smallest set that can be linked is in the band below
+        out += _part_keys(values, rule, band - 1)
     return np.concatenate(out)
 
 
@@ -144,12 +186,12 @@ def bitmap(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _set_rows(batches):
+def _set_rows(batches, rule: Rule):
     """(doc_id, text) to (doc_id, node, n, keys); keys only where the task meets a set for the first time."""
     seen: set[int] = set()
     for batch in batches:
         for block in blocks(batch.column(1)):
-            r, v = shingles(block)
+            r, v = shingles(block, rule.words)
             node = set_hash(r, v, block.rows)
             cut = np.searchsorted(r, np.arange(block.rows + 1))
             n = np.diff(cut)
@@ -157,37 +199,42 @@ def _set_rows(batches):
             for i in np.flatnonzero(n).tolist():
                 if (x := int(node[i])) not in seen:
                     seen.add(x)
-                    keys[i] = tile_keys(v[cut[i] : cut[i + 1]]).view(np.int64)
+                    keys[i] = tile_keys(v[cut[i] : cut[i + 1]], rule).view(np.int64)
             if len(seen) > 1_000_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(node), pa.array(n), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "keys"])
 
 
-def _array_rows(batches):
+def _array_rows(batches, rule: Rule):
     """Texts to (node, n, bits, shingles)."""
     for batch in batches:
         for block in blocks(batch.column(0)):
-            r, v = shingles(block)
+            r, v = shingles(block, rule.words)
             cut = np.searchsorted(r, np.arange(block.rows + 1))
             own = [v[a:b] for a, b in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(set_hash(r, v, block.rows)), pa.array(np.diff(cut)), pa.array([bitmap(x).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "n", "bits", "shingles"])
 
 
-def _verify_rows(batches):
+def _verify_rows(batches, rule: Rule):
     """Pairs with their arrays to the pairs that are linked."""
     for batch in batches:
         xs, ys, a, b = (batch.column(i).to_pylist() for i in range(4))
         ok = []
         for p, q in zip(a, b):
             p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            ok.append(linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)))
+            ok.append(rule.linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)))
         yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
 
-def verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+def _under(rule: Rule, rows):
+    """A function over batches under a rule."""
+    return lambda batches: rows(batches, rule)
+
+
+def verify(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (x, y) whose sets are linked, by exact intersection."""
     side = lambda c: arrays.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_set", "y_set").mapInArrow(_verify_rows, "x long, y long")
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_set", "y_set").mapInArrow(_under(rule, _verify_rows), "x long, y long")
 
 
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
@@ -197,7 +244,7 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def _compare(key: int, node, comp, n, bits, tiles, own, first: int, second: int, out: list) -> None:
+def _compare(rule: Rule, key: int, node, comp, n, bits, tiles, own, first: int, second: int, out: list) -> None:
     """Pairs of a tile block, of different components, whose bit counts allow a link; each in the first tile that both have, where
     that is among the first of either, and in every tile otherwise (the caller makes pairs distinct)."""
     tiles = [np.array(t) for t in tiles]
@@ -211,19 +258,19 @@ def _compare(key: int, node, comp, n, bits, tiles, own, first: int, second: int,
         if first == second:
             other[: i + 1] = False
         small, large = np.minimum(n, n[i]), np.maximum(n, n[i])
-        j = np.flatnonzero(other & (comp != comp[i]) & (10 * small >= 9 * large))
+        j = np.flatnonzero(other & (comp != comp[i]) & rule.may_link(small, large))
         if not len(j):
             continue
         only_i = np.bitwise_count(b[i] & ~b[j]).sum(1, dtype=np.int64)
         only_j = np.bitwise_count(b[j] & ~b[i]).sum(1, dtype=np.int64)
         bound = np.minimum(n[i] - only_i, n[j] - only_j)
-        for k in j[190 * bound >= 90 * (n[i] + n[j])].tolist():
+        for k in j[rule.linked(bound, n[i], n[j])].tolist():
             both = np.intersect1d(tiles[i], tiles[k], assume_unique=True)
             if not len(both) or both[0] == key:
                 out.append((min(node[i], node[k]), max(node[i], node[k])))
 
 
-def _block_rows(batches):
+def _block_rows(batches, rule: Rule):
     """Rows (key, first, second, own, node, comp, n, bits, tiles) sorted by block to candidate pairs."""
     held: list[list] = []
     at = None
@@ -232,7 +279,7 @@ def _block_rows(batches):
         out: list[tuple[int, int]] = []
         if len(held) > 1:
             own, node, comp, n, bits, tiles = zip(*held)
-            _compare(at[0], node, comp, n, bits, tiles, own, at[1], at[2], out)
+            _compare(rule, at[0], node, comp, n, bits, tiles, own, at[1], at[2], out)
         pairs = sorted(set(out))
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["x", "y"])
 
@@ -251,7 +298,7 @@ def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.withColumnRenamed("comp", "_comp"), "node", "left").withColumn("comp", F.coalesce("_comp", "node")).drop("_comp")
 
 
-def residual_candidates(rows: DataFrame, comps: DataFrame, arrays: DataFrame) -> DataFrame:
+def residual_candidates(rows: DataFrame, comps: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
     """Candidate pairs (x, y) of different components that share a tile of rows(key, node)."""
     rows = shared.keep(_with_comp(rows, comps), "tile-comps")
     tiles = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
@@ -263,14 +310,14 @@ def residual_candidates(rows: DataFrame, comps: DataFrame, arrays: DataFrame) ->
     known = arrays.select("node", "n", "bits").join(rows.join(tiles, "key").groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_TILES).alias("tiles")), "node")
     full = member.join(known, "node").select("key", "first", "second", "own", "node", "comp", "n", "bits", "tiles")
     full = full.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
-    return full.mapInArrow(_block_rows, "x long, y long").distinct()
+    return full.mapInArrow(_under(rule, _block_rows), "x long, y long").distinct()
 
 
-def join_near(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def join_near(docs: DataFrame, rule: Rule = OP5) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text): (documents, links). documents: doc_id, node, n_shingles; null node without shingles.
     links: x, y, nodes of different sets that are linked; enough of them to hold every component together."""
     docs = docs.select("doc_id", "text")
-    sets = shared.keep(docs.mapInArrow(_set_rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n long, keys array<long>"), "sets")
+    sets = shared.keep(docs.mapInArrow(_under(rule, _set_rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n long, keys array<long>"), "sets")
     postings = sets.where("keys is not null").select("node", F.explode("keys").alias("key"))
     many = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     rows = shared.keep(postings.join(many.hint("shuffle_hash"), "key", "left_semi").distinct(), "tiles")
@@ -279,19 +326,19 @@ def join_near(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = wanted.select("doc_id").distinct()
     few = wanted.count() <= 2_000_000  # 16 bytes each
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
-    arrays = shared.keep(texts.mapInArrow(_array_rows, "node long, n long, bits binary, shingles binary").dropDuplicates(["node"]), "arrays")
+    arrays = shared.keep(texts.mapInArrow(_under(rule, _array_rows), "node long, n long, bits binary, shingles binary").dropDuplicates(["node"]), "arrays")
     # First: each node with the hub of most of its tiles.
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"))
     best = rows.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
-    links = shared.keep(verify(best.select(F.col("node").alias("x"), F.col("hub").alias("y")), arrays), "hub-links")
+    links = shared.keep(verify(best.select(F.col("node").alias("x"), F.col("hub").alias("y")), arrays, rule), "hub-links")
     # Then: what lies in different components still.
-    more = verify(residual_candidates(rows, components(links), arrays), arrays)
+    more = verify(residual_candidates(rows, components(links), arrays, rule), arrays, rule)
     return sets.select("doc_id", F.when(F.col("n") > 0, F.col("node")).alias("node"), F.col("n").alias("n_shingles")), shared.keep(links.unionByName(more), "near-links")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
+def near_components(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, the document's own among them."""
-    documents, links = join_near(docs)
+    documents, links = join_near(docs, rule)
     comps = components(links)
     # Documents without shingles are kept apart from the joins by node.
     alone = documents.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -306,7 +353,7 @@ def op5_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays; one row of each id."""
+    """Pipeline stage, of 5-word shingles and 80 per cent: of each component the document with the smallest id stays; one row of each id."""
     shared.prepare(spark)
-    first = near_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = near_components(docs, STAGE).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi")

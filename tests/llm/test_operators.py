@@ -117,6 +117,37 @@ def test_jaccard_equals_brute_force(spark):
     assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
 
 
+def test_near_stage_equals_brute_force_of_five_words(spark, tmp_path):
+    rng = random.Random(11)
+    texts, _ = corpus(spark, 120)
+    for k in range(60):  # one to four separate words replaced: similarities on both sides of 80 per cent
+        words = ["c%d_%d" % (k, rng.randrange(10**6)) for _ in range(rng.randint(20, 120))]
+        texts.append(" ".join(words))
+        for at in rng.sample(range(0, len(words), 7), min(len(words) // 7, k % 4 + 1)):
+            words[at] = "other%d" % at
+        texts.append(" ".join(words))
+    hundred = ["z%d" % i for i in range(100)]
+    texts.append(" ".join(hundred))
+    texts.append(" ".join(["first" if i == 30 else "second" if i == 60 else w for i, w in enumerate(hundred)]))
+    rx = re.compile(r"[^\x20\x09-\x0D]+")
+    sets = []
+    for t in texts:
+        w = rx.findall(lower(t or ""))
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    label, pairs = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                pairs += sets[i] != sets[j]
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert pairs > 40
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {r.doc_id for r in jaccard.stage(spark, df, str(tmp_path)).collect()}
+    assert kept == {i for i, x in enumerate(label) if x == i}
+    assert len(texts) - 2 in kept and len(texts) - 1 not in kept
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "x long, y long")
     assert {r.node: r.comp for r in components(links).collect()} == {**{i: 0 for i in range(1, 41)}, 101: 100}
