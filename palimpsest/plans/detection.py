@@ -96,11 +96,19 @@ def mode_resolution(spark, d):
     return c.select("conv_id", "turn", M.mode_of(enforced, header, F.col("role") == "user", "STRUCTURAL_TAG").alias("mode"))
 
 
+_INVISIBLE = "​­⁦x﻿"
+
+
 def invisible(spark, d):
-    t = F.concat(F.substring("text", 1, 40), F.lit("​­⁦x﻿"))
+    """Of the first 40 characters, as its SQL has it; invisible_texts reads all."""
+    t = F.concat(F.substring("text", 1, 40), F.lit(_INVISIBLE))
     return docs(spark, d).select("doc_id", F.md5(T.strip_invisible(t)).alias("clean_md5"))
 
 
+def invisible_texts(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(T.strip_invisible(F.concat("text", F.lit(_INVISIBLE)))).alias("clean_md5"))
+
+
 def watermarks(spark, d):
     m = T.watermark(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16))
     return docs(spark, d).select("doc_id", F.length(m).alias("n_chars"), T.read_watermark(F.concat(F.lit("a"), m, F.lit("b"))).alias("decoded"))
@@ -122,7 +130,7 @@ def percent_decoded(spark, d):
 
 
 def simple_tokens(spark, d):
-    return docs(spark, d).select("doc_id", F.size(T.simple_tokens(F.substring("text", 1, 1_000_000))).alias("n_tokens"))
+    return docs(spark, d).select("doc_id", F.size(T.simple_tokens(F.col("text"))).alias("n_tokens"))
 
 
 def confidences(spark, d):
@@ -130,7 +138,7 @@ def confidences(spark, d):
     return f.groupBy("entity_type", D.confidence(F.col("entity_type"), F.col("matched")).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (assess_entity_counts, email_docs, ip_docs, entropy_tokens, secret_counts, luhn_numbers, iban_mod97, scrubbed, hmac_tokens, minted, restored, crypto_round_trip, mode_resolution, invisible, watermarks, fingerprints, neutralized, percent_decoded, simple_tokens, confidences)}
+QUERIES = {f.__name__: f for f in (assess_entity_counts, email_docs, ip_docs, entropy_tokens, secret_counts, luhn_numbers, iban_mod97, scrubbed, hmac_tokens, minted, restored, crypto_round_trip, mode_resolution, invisible, invisible_texts, watermarks, fingerprints, neutralized, percent_decoded, simple_tokens, confidences)}
 
 _HMAC = lambda m: f"sha256(from_hex('{bytes(b ^ 0x5C for b in KEY.ljust(64, bytes(1))).hex()}') || from_hex(sha256(from_hex('{bytes(b ^ 0x36 for b in KEY.ljust(64, bytes(1))).hex()}') || encode({m}))))"
 _EMAIL = r"(?:^|[^A-Za-z0-9_])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,}(?:[^A-Za-z0-9_]|$)"
@@ -158,3 +166,4 @@ ORACLES = {
     "percent_decoded": "SELECT page_id, url || ' a+b%zz' AS decoded FROM pages",
     "simple_tokens": r"SELECT doc_id, len(regexp_extract_all(text[1:1000000], ' ?[A-Za-z]+|\d{1,3}| ?[^\s\vA-Za-z\d]+|[\s\v]+'))::INT AS n_tokens FROM documents",
 }
+ORACLES["invisible_texts"] = ORACLES["invisible"].replace("text[1:40]", "text")
