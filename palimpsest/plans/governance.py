@@ -74,20 +74,29 @@ def event_counts(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
-def two_part_chunks(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 30).alias("t"))
+def _two_parts(b):
     s = b.select("item_id", "t", F.explode(splits.two_part(F.length("t"))).alias("cuts"))
     return s.select("item_id", F.element_at("cuts", 1).alias("cut"), F.array_join(splits.chunks(F.col("t"), F.col("cuts")), "|").alias("parts"))
 
 
+def two_part_chunks(spark, d):
+    """Of the first 30 characters, as its SQL has it; two_part_items cuts whole items."""
+    return _two_parts(table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 30).alias("t")))
+
+
+def two_part_items(spark, d):
+    return _two_parts(table(spark, d, "benchmark").select("item_id", F.col("text").alias("t")))
+
+
 def three_part_counts(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.length("text").alias("n"))
     return b.select("item_id", splits.capped(F.col("n")).alias("capped"), F.size(splits.three_part(F.col("n"))).alias("n_splits"))
 
 
 def policy_leaks(spark, d):
-    """A value of 12 characters in the middle of an item, cut everywhere: chunk-local leaks, retention does not."""
-    b = table(spark, d, "benchmark").select("item_id", F.concat(F.substring("text", 1, 10), F.lit(" 900-55-1234 "), F.substring("text", 11, 10)).alias("t"))
+    """A value of 11 characters in the middle of a whole item, cut everywhere: chunk-local leaks, retention does not."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    b = table(spark, d, "benchmark").select("item_id", F.concat(F.substring("text", F.lit(1), half), F.lit(" 900-55-1234 "), F.substring("text", half + 1, F.length("text"))).alias("t"))
     s = b.select("item_id", "t", F.explode(F.concat(F.array(F.array().cast("array<int>")), splits.two_part(F.length("t")))).alias("cuts"))
     p, parts = r"\d{3}-\d{2}-\d{4}", splits.chunks(F.col("t"), F.col("cuts"))
     arm = F.when(F.size("cuts") == 0, "single_chunk").otherwise("adversarial")
@@ -135,7 +144,7 @@ def usage_totals(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n_requests"), F.round(F.sum("value"), 2).alias("total"))
 
 
-_ALL = (tool_verdicts, hosts, addresses_denied, network_join, egress, urls_introduced, role_collapse, key_roles, audit_chains, chain_roots, event_counts, two_part_chunks, three_part_counts, policy_leaks, twin_discordance, axis_arms, index_percentiles, sweep, sign_tests, sign_flip, holm_adjusted, usage_totals)
+_ALL = (tool_verdicts, hosts, addresses_denied, network_join, egress, urls_introduced, role_collapse, key_roles, audit_chains, chain_roots, event_counts, two_part_chunks, two_part_items, three_part_counts, policy_leaks, twin_discordance, axis_arms, index_percentiles, sweep, sign_tests, sign_flip, holm_adjusted, usage_totals)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _N = "(CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT))"
@@ -184,3 +193,4 @@ ORACLES = {
       SELECT n_regionkey, test, round(max(s) OVER (PARTITION BY n_regionkey ORDER BY p, test), 9) AS p_holm FROM r""",
     "usage_totals": "SELECT user_id, event_type, count(*) AS n_requests, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
 }
+ORACLES["two_part_items"] = ORACLES["two_part_chunks"].replace("text[1:30]", "text")
