@@ -8,14 +8,17 @@ texts are empty texts here; callers that tell them apart look at ``nulls``.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-BLOCK_BYTES = 2_000_000
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
+BLOCK_BYTES = 1_000_000
+#: Spans longer than this are hashed one by one.
+LONG_SPAN = 256
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -40,21 +43,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A random 64-bit value for each byte; fixed, so that hashes agree on all executors.
-BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_POWERS: dict[str, np.ndarray] = {}
+#: Keeps the first so many bytes of eight.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _R), ("down", _R_INV)):
-                out = np.full(size, np.uint64(base), dtype=np.uint64)
-                out[0] = 1
-                _POWERS[name] = np.multiply.accumulate(out)
-    return _POWERS["up"], _POWERS["down"]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number, the first one lowest; zeros beyond the end."""
+    x = np.zeros(len(data) + 8, np.uint64)
+    x[: len(data)] = data
+    for k in (1, 2, 4):
+        x[:-k] |= x[k:] << np.uint64(8 * k)
+    return x
+
+
+def same_bytes(a: np.ndarray, starts_a: np.ndarray, b: np.ndarray, starts_b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether spans of equal sizes hold the same bytes; a and b are eights() of their data."""
+    same = np.ones(len(sizes), bool)
+    live, k = np.flatnonzero(sizes > 0), 0
+    while len(live):
+        keep = _FIRST_BYTES[np.minimum(sizes[live] - k, 8)]
+        differ = ((a[starts_a[live] + k] ^ b[starts_b[live] + k]) & keep) != 0
+        same[live[differ]] = False
+        k += 8
+        live = live[~differ]
+        live = live[sizes[live] > k]
+    return same
 
 
 class Block:
@@ -96,23 +109,30 @@ class Block:
         """For each row and the end: the index of its first span."""
         return np.searchsorted(starts, self.offsets, side="left")
 
+    @functools.cached_property
+    def eights(self) -> np.ndarray:
+        return eights(self.data)
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte spans: equal bytes, equal hashes, wherever they stand."""
-        return self.span_hashes()(starts, ends)
+        """64-bit hashes of byte spans: equal bytes, equal hashes, wherever they stand.
 
-    def span_hashes(self):
-        """hashes() as a function that may be called again and again, over sums made once."""
-        up, down = _powers(len(self.data) + 1)
+        Eight bytes at a time are taken in and mixed by a bijection, so no
+        structure of a text makes two spans of it collide; as with any 64-bit
+        hash, two of n distinct spans do so with probability n * n / 2 ** 65.
+        """
+        starts, size = np.asarray(starts, np.int64), np.asarray(ends, np.int64) - starts
         with np.errstate(over="ignore"):
-            total = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(BYTE_VALUE[self.data] * up[: len(self.data)], out=total[1:])
-
-        def of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-            with np.errstate(over="ignore"):
-                h = (total[ends] - total[starts]) * down[starts]
-                return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-
-        return of
+            h = mix64(size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(1))
+            live, k = np.arange(len(size)), 0
+            if len(size) and int(size.max()) > LONG_SPAN:
+                for i in np.flatnonzero(size > LONG_SPAN).tolist():
+                    h[i] = xxhash.xxh3_64_intdigest(self.data[starts[i] : starts[i] + size[i]].tobytes())
+                live = np.flatnonzero(size <= LONG_SPAN)
+            while len(live := live[size[live] > k]):
+                x = self.eights[starts[live] + k] & _FIRST_BYTES[np.minimum(size[live] - k, 8)]
+                h[live] = mix64(h[live] * np.uint64(0x9E3779B97F4A7C15) ^ x)
+                k += 8
+        return h
 
 
 def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[Block]:
@@ -145,46 +165,42 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class SpanCache:
-    """Remembers what a function gives for distinct byte spans, by 64-bit hash, up to ``limit`` spans.
+    """Remembers what a function gives for distinct byte spans, which are told apart by their bytes.
 
     The function maps a list of byte strings to a list of int arrays. When the
-    cache would grow beyond its limit it starts afresh, which costs time only.
+    cache would grow beyond ``limit`` spans it starts afresh, which costs time
+    only. Spans of more than ``LONG_SPAN`` bytes are not remembered.
     """
 
-    def __init__(self, function, limit: int = 1_500_000):
+    def __init__(self, function, limit: int = 500_000):
         self.function, self.limit = function, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
+        self.slots: dict[bytes, int] = {}
+        self.begin = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
         self.values = np.zeros(0, np.int32)
 
-    def look_up(self, block: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each span: index into (at, size) of the cache, as (index, at, size)."""
-        h = block.hashes(starts, ends)
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > self.limit:
+    def look_up(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each span between two cuts: where its values begin, and how many they are; and the values."""
+        spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = spans.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.slots) + len(distinct) > self.limit or len(self.values) > 16 * self.limit:
             self._clear()
-        where = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = where < len(self.keys)
-        known[inside] = self.keys[where[inside]] == distinct[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = block.data.tobytes()
-            spans = [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            got = self.function(spans)
-            sizes = np.fromiter((len(x) for x in got), np.int32, len(got))
-            flat = np.fromiter((y for x in got for y in x), np.int32, int(sizes.sum()))
-            begin = len(self.values) + np.concatenate(([0], np.cumsum(sizes[:-1], dtype=np.int64)))
-            self.values = np.concatenate((self.values, flat))
-            keys = np.concatenate((self.keys, distinct[new]))
-            order = np.argsort(keys, kind="stable")
-            self.keys = keys[order]
-            self.at = np.concatenate((self.at, begin))[order]
-            self.size = np.concatenate((self.size, sizes))[order]
-            where = np.searchsorted(self.keys, distinct)
-        index = where[inverse]
-        return index, self.at[index], self.size[index]
+        get = self.slots.get
+        slot = np.fromiter((get(s, -1) for s in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(slot < 0).tolist()
+        begin, size, values = self.begin, self.size, self.values
+        if new:
+            got = self.function([distinct[i] for i in new])
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            slot[new] = np.arange(len(begin), len(begin) + len(new))
+            begin = np.concatenate((begin, len(values) + np.cumsum(sizes) - sizes))
+            size = np.concatenate((size, sizes))
+            values = np.concatenate((values, np.fromiter(itertools.chain.from_iterable(got), np.int32, int(sizes.sum()))))
+            self.slots.update((distinct[i], k) for i, k in zip(new, slot[new].tolist()) if len(distinct[i]) <= LONG_SPAN)
+            self.begin, self.size, self.values = begin, size, values
+        index = slot[coded.indices.to_numpy()]
+        return begin[index], size[index], values

@@ -17,7 +17,7 @@ each for itself. Memory: one block of text, its ids, and the open windows.
 
 from __future__ import annotations
 
-import base64
+import os
 import zlib
 
 import numpy as np
@@ -34,67 +34,61 @@ PIECE_COLUMNS = [("start", T.LongType()), ("length", T.LongType()), ("ids_crc32"
 
 
 class ByteLevelIds:
-    """Identifiers of texts under a byte-level BPE, from the ids of distinct cuttings.
-
-    The pre-tokeniser always begins a new token at a space before a character
-    that is not white space, and around a single line break between such
-    characters; texts are cut there. Cuttings in plain or accented Latin are
-    encoded by ranks; any other character, and whatever may hold a special
-    token, goes through the tokenizers library itself.
+    """Identifiers of texts by a byte-level BPE of the tokenizers library, from those of distinct cuttings.
+
+    The library's pre-tokeniser begins a new token at a space before a character
+    that is not white space, and between two neighbours of different classes
+    among ASCII letters, ASCII digits and other ASCII characters that are not
+    white space, unless the first is an apostrophe; what it does after such a
+    place does not depend on what stands before. Texts are cut there, and the
+    library encodes each distinct cutting. A text that may hold a special token
+    (``<|``) is not cut.
     """
 
-    def __init__(self, json_path: str, ranks_path: str, pattern: str):
-        import tiktoken
+    def __init__(self, json_path: str):
         from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.full = Tokenizer.from_file(json_path)
-        self.cache = SpanCache(self._encode_spans, limit=1_200_000)
-        plain = np.zeros(256, bool)
-        plain[0x21:0x7F] = True
-        self.before = plain.copy()  # a byte that surely ends no white space
-        self.after = plain.copy()  # a byte that surely begins no white space
-        self.after[0xC3:0xE0] = True
-        self.after[0xE4:0xF5] = True
-        self.rare = bytes([*range(0x00, 0x09), *range(0x0B, 0x20), 0x7F, 0xC2, *range(0xC4, 0xF5)])
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel workers
+        self.encode = Tokenizer.from_file(json_path).encode_batch_fast
+        self.cache = SpanCache(self._encode_spans, limit=800_000)
+        kind = np.zeros(256, np.uint8)  # 0: white space, control characters and all beyond ASCII
+        kind[0x21:0x7F] = 3
+        kind[0x30:0x3A] = 2
+        kind[0x41:0x5B] = kind[0x61:0x7B] = 1
+        self.kind = kind
+        self.after_space = kind > 0  # a byte that surely begins no white space
+        self.after_space[0xC3:0xE0] = True
+        self.after_space[0xE4:0xF5] = True
 
     def _encode_spans(self, spans: list[bytes]) -> list[list[int]]:
-        fast, full, rare = self.fast, self.full, self.rare
-        out = []
-        for s in spans:
-            if len(s.translate(None, rare)) == len(s) and b"<|" not in s and len(s) < 4096:
-                out.append(fast(s.decode()))
-            else:
-                out.append(full.encode(s.decode(), add_special_tokens=False).ids)
-        return out
+        return [e.ids for e in self.encode([s.decode() for s in spans], add_special_tokens=False)]
 
     def ids(self, block: Block, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block, an end id after each row, and the offsets of the rows."""
         d = block.data
         cut = np.zeros(len(d) + 1, bool)
         if len(d) > 2:
-            cut[1:-2] |= (d[1:-1] == 0x20) & self.after[d[2:]]
-            lone = (d[1:-1] == 0x0A) & self.before[d[:-2]] & self.after[d[2:]]
-            cut[1:-2] |= lone
-            cut[2:-1] |= lone
+            kind = self.kind[d]
+            a, b = kind[:-1], kind[1:]
+            cut[1:-1] = (a != b) & (a > 0) & (b > 0) & (d[:-1] != 0x27)
+            cut[1:-2] |= (d[1:-1] == 0x20) & self.after_space[d[2:]]
+            for r in np.unique(block.row_of(np.flatnonzero((d[:-1] == 0x3C) & (d[1:] == 0x7C)))).tolist():
+                cut[block.offsets[r] : block.offsets[r + 1]] = False
         cut[block.offsets] = True
         at = np.flatnonzero(cut)
-        starts, ends = at[:-1], at[1:]
-        if len(starts):
-            _, begin, size = self.cache.look_up(block, starts, ends)
+        if len(at) > 1:
+            begin, size, values = self.cache.look_up(d, at)
         else:
-            begin, size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        first = block.first_of_row(starts)
+            begin, size, values = (np.zeros(0, np.int64),) * 3
+        first = block.first_of_row(at[:-1])
         total = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
         lengths = np.diff(total[first]) + 1
         offsets = np.concatenate(([0], np.cumsum(lengths)))
         ids = np.full(int(offsets[-1]), end_id, np.uint32)
-        if len(starts):
+        if len(size):
             flat = np.repeat(begin - total[:-1], size) + np.arange(int(total[-1]))
             row = np.repeat(np.arange(block.rows), np.diff(total[first]))
-            ids[np.arange(int(total[-1])) + row] = self.cache.values[flat].astype(np.uint32)
+            ids[np.arange(int(total[-1])) + row] = values[flat].astype(np.uint32)
         return ids, offsets
 
 
@@ -179,17 +173,16 @@ class Packer:
                     size = room = 1 << level.bit_length() - 1 if level else 0
 
 
-_IDS: dict[tuple, ByteLevelIds] = {}
+_IDS: dict[str, ByteLevelIds] = {}
 
 
-def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, json_path: str, window: int = 1024, end_id: int = 0) -> DataFrame:
     """The pieces of docs(doc_id, text): doc_id and PIECE_COLUMNS."""
 
     def run(batches):
-        key = (json_path, ranks_path)
-        if key not in _IDS:
-            _IDS[key] = ByteLevelIds(json_path, ranks_path, pattern)
-        encoder = _IDS[key]
+        if json_path not in _IDS:
+            _IDS[json_path] = ByteLevelIds(json_path)
+        encoder = _IDS[json_path]
         packer = Packer(window, TaskContext.get().partitionId() << 36)
         schema = None
 
@@ -216,7 +209,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, window:
 def _public(docs: DataFrame) -> DataFrame:
     import public_tokenizers as P
 
-    return pack(docs, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return pack(docs, P.path("byte_bpe_50k.json"))
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:

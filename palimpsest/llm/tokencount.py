@@ -148,11 +148,10 @@ class Counter:
         cut[1:-1] = ~self.merger.beside[data[:-1], data[1:]]
         cut[offsets] = True
         at = np.flatnonzero(cut)
-        starts, ends = at[:-1], at[1:]
-        if not len(starts):
+        if len(at) < 2:
             return np.zeros(block.rows, np.int64)
-        index, begin, _ = self.cache.look_up(marked, starts, ends)
-        return segment_sums(self.cache.values[begin].astype(np.int64), marked.first_of_row(starts))
+        begin, _, values = self.cache.look_up(data, at)
+        return segment_sums(values[begin].astype(np.int64), marked.first_of_row(at[:-1]))
 
 
 _COUNTERS: dict[str, Counter] = {}
