@@ -10,21 +10,29 @@ of groups:
    so in at most a(1 - t) / t (a / 9 at 90 per cent, a / 4 at 80). At the band of
    the smaller, shingles are dealt by hash to so many parts that more parts than
    that are in use: one in use agrees. A tile is (band, part, content of the
-   part): the nodes of a tile are the only candidates.
-2. Each node is tried against the hub of the tiles it shares with one most
-   often; these links already join most groups into one component.
-3. Tiles whose nodes lie in different components are gone through in blocks of
-   bounded size. Hashed bitmaps of the sets bound each overlap from above by
-   their bit counts: bits that only one side has are shingles that the other
-   lacks. Pairs of different components that pass go on.
-4. Candidates are decided exactly by intersecting the sorted arrays.
+   part): the nodes of a tile are the only candidates. Tiles of the same nodes
+   are one tile.
+2. Tiles are gone through in blocks of bounded size. Hashed bitmaps of the sets
+   bound each overlap from above by their bit counts: bits that only one side
+   has are shingles that the other lacks. Nodes with a partner that passes go on
+   with their sets to the same block once more, where the sorted arrays are
+   intersected exactly.
+
+What leaves a block is never a row for each pair: ``join_near`` sums up how many
+links each node has (a pair counts in the first tile that both share) and hands
+on a spanning forest of the links it saw. ``near_components`` asks for the
+components alone: hubs of tiles link most groups first, in rows as many as
+nodes, and pairs whose nodes are joined already are passed over, so that its
+work does not grow with the square of a group of linked texts.
 
 Components are found by alternating large-star and small-star steps, on tables.
 
-Shingles are 64-bit hashes. Cases: texts without words (null, empty, blank)
-have no shingles and are linked with nothing; fewer words than n are one
-shingle; repeated rows are copies. Ties of ids need no rule: the smallest
-doc_id of a component names it.
+Shingles are 64-bit hashes of the words' 64-bit hashes. Cases: texts without
+words (null, empty, blank) have no shingles and are linked with nothing; fewer
+words than n are one shingle; repeated rows are copies, each with a row of the
+result, linked with each other. A null doc_id is no name: a component is named
+by its smallest doc_id that is not null, and by null if it has none. An empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm import shared
 from palimpsest.llm.blocks import NOT_SPACE, Block, blocks, mix64
@@ -43,15 +52,20 @@ from palimpsest.llm.components import components
 
 #: Each band's smallest size is at least so many times that of the one before.
 BAND_RATIO = 1.4
-#: Nodes of a tile that are compared in one block.
-TILE_BLOCK = 512
+#: Nodes of a tile that are compared in one block, on each side; fewer if their sets hold more than BLOCK_SHINGLES in all.
+TILE_BLOCK = 2048
+BLOCK_SHINGLES = 1_000_000
 #: Bits of a bitmap for each shingle, rounded up to a power of two; at least 64 bits.
 BITS_PER_SHINGLE = 2
 #: A bitmap has no more bits than this: it goes with every tile of its set, and a long text has many. The bound of a full
 #: bitmap is weaker, and right.
 MAX_BITS = 1 << 14
-#: A node carries its so many smallest tiles, to tell which tile is the first that a pair shares.
+#: A node carries its so many smallest tiles to the bitmaps, to tell which tile is the first that a pair shares.
 FIRST_TILES = 32
+#: Nodes whose counts and links a task holds before it hands them on.
+HELD_NODES = 200_000
+#: Parts into which the partners of a hub are dealt.
+HUB_SALTS = 256
 #: Deals of a set that has too few parts in use; after the last one its empty parts are tiles too.
 _DEALS = 8
 
@@ -200,19 +214,21 @@ def _set_rows(batches, rule: Rule):
                 if (x := int(node[i])) not in seen:
                     seen.add(x)
                     keys[i] = tile_keys(v[cut[i] : cut[i + 1]], rule).view(np.int64)
-            if len(seen) > 1_000_000:
+            if len(seen) > HELD_NODES:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(node), pa.array(n), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "keys"])
 
 
 def _array_rows(batches, rule: Rule):
-    """Texts to (node, n, bits, shingles)."""
+    """Texts to (node, n, bits, shingles, tiles), the last two ascending."""
     for batch in batches:
         for block in blocks(batch.column(0)):
             r, v = shingles(block, rule.words)
             cut = np.searchsorted(r, np.arange(block.rows + 1))
             own = [v[a:b] for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(set_hash(r, v, block.rows)), pa.array(np.diff(cut)), pa.array([bitmap(x).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "n", "bits", "shingles"])
+            tiles = [np.unique(tile_keys(x, rule).view(np.int64)).tobytes() if len(x) else b"" for x in own]
+            columns = [pa.array(set_hash(r, v, block.rows)), pa.array(np.diff(cut)), *(pa.array(x, pa.binary()) for x in ([bitmap(x).tobytes() for x in own], [x.tobytes() for x in own], tiles))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "bits", "shingles", "tiles"])
 
 
 def _verify_rows(batches, rule: Rule):
@@ -226,15 +242,17 @@ def _verify_rows(batches, rule: Rule):
         yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _under(rule: Rule, rows):
-    """A function over batches under a rule."""
-    return lambda batches: rows(batches, rule)
+def _under(rows, *parameters):
+    """A function over batches under a rule and the like."""
+    return lambda batches: rows(batches, *parameters)
 
 
 def verify(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (x, y) whose sets are linked, by exact intersection."""
+    """The pairs (x, y) whose sets are linked, by exact intersection. An x has few pairs; a y may have very many."""
     side = lambda c: arrays.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_set", "y_set").mapInArrow(_under(rule, _verify_rows), "x long, y long")
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(HUB_SALTS)))
+    hubs = pairs.select("y", "salt").distinct().join(side("y"), "y")
+    return pairs.join(side("x"), "x").join(hubs, ["y", "salt"]).select("x", "y", "x_set", "y_set").mapInArrow(_under(_verify_rows, rule), "x long, y long")
 
 
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
@@ -244,116 +262,275 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def _compare(rule: Rule, key: int, node, comp, n, bits, tiles, own, first: int, second: int, out: list) -> None:
-    """Pairs of a tile block, of different components, whose bit counts allow a link; each in the first tile that both have, where
-    that is among the first of either, and in every tile otherwise (the caller makes pairs distinct)."""
-    tiles = [np.array(t) for t in tiles]
-    width = min(len(b) for b in bits)
-    b = np.stack([_fold(np.frombuffer(x, np.uint8), width) for x in bits]).view(np.uint64)
-    n, comp, own = np.array(n), np.array(comp), np.array(own)
-    for i in range(len(node)):
-        if own[i] != first:
-            continue
-        other = own == second
-        if first == second:
+class _Sets:
+    """Sorted arrays of some rows, merged into one numbering; counts what one row has in common with others."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.size = np.fromiter(map(len, arrays), np.int64, len(arrays))
+        self.first = np.cumsum(self.size) - self.size
+        values, self.flat = np.unique(np.concatenate(arrays), return_inverse=True)
+        self.mark = np.zeros(len(values), bool)
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        own = self.flat[self.first[i] : self.first[i] + self.size[i]]
+        size = self.size[others]
+        out = np.zeros(len(others), np.int64)
+        full = np.flatnonzero(size)
+        if not len(full) or not len(own):
+            return out
+        size, first = size[full], self.first[others[full]]
+        ends = np.cumsum(size)
+        self.mark[own] = True
+        found = self.mark[self.flat[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]))]]
+        self.mark[own] = False
+        out[full] = np.add.reduceat(found, ends - size, dtype=np.int64)
+        return out
+
+
+class _Block:
+    """The nodes of one block of a tile: pairs of its first and second side that sizes and bit counts allow, in the first tile they share."""
+
+    def __init__(self, rule: Rule, key: int, sides: tuple[int, int], own, comp, bits: list[bytes], tiles: list[np.ndarray], n):
+        self.rule, self.sides, self.own, self.comp, self.n = rule, sides, np.array(own), np.array(comp), np.array(n)
+        width = min(map(len, bits))
+        self.bits = np.stack([_fold(np.frombuffer(x, np.uint8), width) for x in bits]).view(np.uint64)
+        self.before = _Sets([t[t < key] for t in tiles])
+
+    def partners(self, i: int) -> np.ndarray:
+        other = (self.own == self.sides[1]) & (self.comp != self.comp[i])
+        if self.sides[0] == self.sides[1]:
             other[: i + 1] = False
-        small, large = np.minimum(n, n[i]), np.maximum(n, n[i])
-        j = np.flatnonzero(other & (comp != comp[i]) & rule.may_link(small, large))
+        n, b = self.n, self.bits
+        j = np.flatnonzero(other & self.rule.may_link(np.minimum(n, n[i]), np.maximum(n, n[i])))
         if not len(j):
-            continue
+            return j
         only_i = np.bitwise_count(b[i] & ~b[j]).sum(1, dtype=np.int64)
         only_j = np.bitwise_count(b[j] & ~b[i]).sum(1, dtype=np.int64)
-        bound = np.minimum(n[i] - only_i, n[j] - only_j)
-        for k in j[rule.linked(bound, n[i], n[j])].tolist():
-            both = np.intersect1d(tiles[i], tiles[k], assume_unique=True)
-            if not len(both) or both[0] == key:
-                out.append((min(node[i], node[k]), max(node[i], node[k])))
-
-
-def _block_rows(batches, rule: Rule):
-    """Rows (key, first, second, own, node, comp, n, bits, tiles) sorted by block to candidate pairs."""
-    held: list[list] = []
-    at = None
-
-    def done():
-        out: list[tuple[int, int]] = []
-        if len(held) > 1:
-            own, node, comp, n, bits, tiles = zip(*held)
-            _compare(rule, at[0], node, comp, n, bits, tiles, own, at[1], at[2], out)
-        pairs = sorted(set(out))
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["x", "y"])
+        j = j[self.rule.linked(np.minimum(n[i] - only_i, n[j] - only_j), n[i], n[j])]
+        return j[self.before.common(i, j) == 0] if len(j) else j
+
+    def pairs(self):
+        """(i, partners of i) for the rows of the first side that have some."""
+        for i in np.flatnonzero(self.own == self.sides[0]).tolist():
+            j = self.partners(i)
+            if len(j):
+                yield i, j
+
 
+def _by_block(batches):
+    """Rows that begin with (key, first, second), sorted by them, as (those three, rows without them) for each block of two rows or more."""
+    held, at = [], None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:3] != at:
-                if len(held) > 1 and (found := done()).num_rows:
-                    yield found
+                if len(held) > 1:
+                    yield at, held
                 held, at = [], row[:3]
             held.append(row[3:])
-    if len(held) > 1 and (found := done()).num_rows:
-        yield found
+    if len(held) > 1:
+        yield at, held
+
+
+def _marked_rows(batches, rule: Rule):
+    """Rows (key, first, second, own, node, comp, n, bits, tiles) by block to (key, first, second, own, node, comp) of the nodes with a partner."""
+    for (key, first, second), held in _by_block(batches):
+        own, node, comp, n, bits, tiles = zip(*held)
+        block = _Block(rule, key, (first, second), own, comp, bits, [np.array(t) for t in tiles], n)
+        some = np.zeros(len(held), bool)
+        for i, j in block.pairs():
+            some[i] = some[j] = True
+        at = np.flatnonzero(some).tolist()
+        if at:
+            columns = [[key] * len(at), [first] * len(at), [second] * len(at), *([x[i] for i in at] for x in (own, node, comp))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["key", "first", "second", "own", "node", "comp"])
+
+
+class _Links:
+    """A spanning forest of the links seen, and how many documents each node is linked with."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.near: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.up.setdefault(min(x, y), min(x, y))
+        return x != y
+
+    def flush(self) -> pa.RecordBatch:
+        nodes = list(self.up)
+        out = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([self.root(x) for x in nodes], pa.int64()), pa.array([self.near.get(x, 0) for x in nodes], pa.int64())], names=["x", "y", "near"])
+        self.up, self.near = {}, {}
+        return out
+
+
+def _linked_rows(batches, rule: Rule, every: bool):
+    """Rows (key, first, second, own, node, comp, copies, shingles, tiles) by block to (x, y, near): node, a node it is joined with,
+    and how many documents it was found to be linked with. Unless every pair counts, pairs whose components are joined are passed over."""
+    links = _Links()
+    for (key, first, second), held in _by_block(batches):
+        own, node, comp, copies, raw, tiles = zip(*held)
+        sets = [np.frombuffer(x, np.uint64) for x in raw]
+        block = _Block(rule, key, (first, second), own, comp, [bitmap(x).tobytes() for x in sets], [np.frombuffer(t, np.int64) for t in tiles], [len(x) for x in sets])
+        shared_ = _Sets(sets)
+        near = np.zeros(len(held), np.int64)
+        copies = np.array(copies)
+        for i, j in block.pairs():
+            if not every:
+                at = links.root(comp[i])
+                j = j[[links.root(comp[k]) != at for k in j.tolist()]]
+                if not len(j):
+                    continue
+            j = j[rule.linked(shared_.common(i, j), block.n[i], block.n[j])]
+            near[i] += copies[j].sum()
+            near[j] += copies[i]
+            for k in j.tolist():
+                links.join(comp[i], comp[k])
+        if every:
+            for k in np.flatnonzero(near).tolist():
+                links.near[node[k]] = links.near.get(node[k], 0) + int(near[k])
+        if len(links.up) > HELD_NODES:
+            yield links.flush()
+    yield links.flush()
 
 
 def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.withColumnRenamed("comp", "_comp"), "node", "left").withColumn("comp", F.coalesce("_comp", "node")).drop("_comp")
 
 
-def residual_candidates(rows: DataFrame, comps: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
-    """Candidate pairs (x, y) of different components that share a tile of rows(key, node)."""
-    rows = shared.keep(_with_comp(rows, comps), "tile-comps")
-    tiles = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
-    # Tiles of the same nodes are one tile.
-    tiles = tiles.where("lo <> hi").groupBy("members", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("members") / TILE_BLOCK).cast("int").alias("nb"))
-    member = rows.join(tiles, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    # A node meets each block of its tile once: as the first side or the second.
-    member = member.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("second"), "own", "node", "comp")
-    known = arrays.select("node", "n", "bits").join(rows.join(tiles, "key").groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_TILES).alias("tiles")), "node")
-    full = member.join(known, "node").select("key", "first", "second", "own", "node", "comp", "n", "bits", "tiles")
-    full = full.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
-    return full.mapInArrow(_under(rule, _block_rows), "x long, y long").distinct()
+@dataclass
+class Candidates:
+    """sets: a row for each document (doc_id, node, n). rows: (key, node) of the tiles of two nodes or more, one tile for the same
+    nodes. arrays: (node, n, bits, shingles, tiles) and the number of documents (copies) of the nodes in rows."""
+
+    sets: DataFrame
+    rows: DataFrame
+    arrays: DataFrame
 
 
-def join_near(docs: DataFrame, rule: Rule = OP5) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text): (documents, links). documents: doc_id, node, n_shingles; null node without shingles.
-    links: x, y, nodes of different sets that are linked; enough of them to hold every component together."""
+def candidates(docs: DataFrame, rule: Rule) -> Candidates:
     docs = docs.select("doc_id", "text")
-    sets = shared.keep(docs.mapInArrow(_under(rule, _set_rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n long, keys array<long>"), "sets")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    sets = shared.keep(docs.mapInArrow(_under(_set_rows, rule), schema), "sets")
     postings = sets.where("keys is not null").select("node", F.explode("keys").alias("key"))
     many = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    rows = shared.keep(postings.join(many.hint("shuffle_hash"), "key", "left_semi").distinct(), "tiles")
+    rows = shared.keep(postings.join(many.hint("shuffle_hash"), "key", "left_semi").distinct(), "tiles-all")
+    who = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"who{k}") for k in (1, 2)]
+    one = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *who).groupBy("members", "who1", "who2").agg(F.min("key").alias("key")).select("key")
+    tiles = shared.keep(rows.join(one, "key", "left_semi"), "tiles")
+    shared.drop(rows)
     # The sets of the nodes that share a tile, from one of their texts.
-    wanted = shared.keep(rows.select("node").distinct().join(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node"), "candidates")
-    ids = wanted.select("doc_id").distinct()
+    named = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    wanted = shared.keep(tiles.select("node").distinct().join(named, "node"), "candidates")
+    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
     few = wanted.count() <= 2_000_000  # 16 bytes each
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
-    arrays = shared.keep(texts.mapInArrow(_under(rule, _array_rows), "node long, n long, bits binary, shingles binary").dropDuplicates(["node"]), "arrays")
-    # First: each node with the hub of most of its tiles.
-    hubs = rows.groupBy("key").agg(F.min("node").alias("hub"))
-    best = rows.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
-    links = shared.keep(verify(best.select(F.col("node").alias("x"), F.col("hub").alias("y")), arrays, rule), "hub-links")
-    # Then: what lies in different components still.
-    more = verify(residual_candidates(rows, components(links), arrays, rule), arrays, rule)
-    return sets.select("doc_id", F.when(F.col("n") > 0, F.col("node")).alias("node"), F.col("n").alias("n_shingles")), shared.keep(links.unionByName(more), "near-links")
+    texts = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    made = texts.mapInArrow(_under(_array_rows, rule), "node long, n long, bits binary, shingles binary, tiles binary")
+    arrays = shared.keep(made.join(wanted.select("node", "copies"), "node").dropDuplicates(["node"]), "arrays")
+    return Candidates(sets, tiles, arrays)
+
+
+def linked(found: Candidates, rule: Rule, comps: DataFrame | None = None) -> DataFrame:
+    """(x, y, near) of all tiles: see _linked_rows. With comps, only of tiles whose nodes are of several components."""
+    rows, arrays = found.rows, found.arrays
+    if comps is None:
+        rows = rows.withColumn("comp", F.col("node"))
+    else:
+        rows = shared.keep(_with_comp(rows, comps), "tile-comps")
+    of_tile = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.max("n").alias("most")]
+    side = F.least(F.lit(TILE_BLOCK), F.greatest(F.lit(16), F.lit(BLOCK_SHINGLES) / F.col("most")))
+    tiles = rows.join(arrays.select("node", "n"), "node").groupBy("key").agg(*of_tile).where("lo <> hi").select("key", F.ceil(F.col("members") / side).cast("int").alias("nb"))
+    rows = shared.keep(rows.join(tiles, "key"), "tile-blocks")
+    member = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    # A node meets each block of its tile once: as the first side or the second.
+    member = member.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("second"), "own", "node", "comp")
+    by_block = lambda df: df.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
+    known = arrays.select("node", "n", "bits").join(rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_TILES).alias("tiles")), "node")
+    full = member.join(known, "node").select("key", "first", "second", "own", "node", "comp", "n", "bits", "tiles")
+    marked = shared.keep(by_block(full).mapInArrow(_under(_marked_rows, rule), "key long, first long, second long, own long, node long, comp long"), "marked")
+    full = marked.join(arrays, "node").select("key", "first", "second", "own", "node", "comp", "copies", "shingles", "tiles")
+    return by_block(full).mapInArrow(_under(_linked_rows, rule, comps is None), "x long, y long, near long")
+
+
+def join_near(docs: DataFrame, rule: Rule = OP5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs(doc_id, text): (documents, links, counts). documents: doc_id, node, n_shingles; null node without shingles. links: x, y,
+    a spanning forest of all links between different sets, by parts. counts: node, copies (documents of it), near (documents of
+    other sets that are linked with it)."""
+    found = candidates(docs, rule)
+    rows = shared.keep(linked(found, rule), "near-links")
+    copies = found.sets.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    near = rows.where("near > 0").groupBy(F.col("x").alias("node")).agg(F.sum("near").alias("near"))
+    counts = copies.join(near, "node", "left").na.fill(0, ["near"])
+    return _documents(found), rows.where("x <> y").select("x", "y"), counts
+
+
+def _documents(found: Candidates) -> DataFrame:
+    return found.sets.select("doc_id", F.when(F.col("n") > 0, F.col("node")).alias("node"), F.col("n").alias("n_shingles"))
+
+
+def near_links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text): (documents, links) as join_near, with links enough to hold every component together."""
+    found = candidates(docs, rule)
+    links, rows = None, found.rows
+    for order in (1, 2):
+        if links is not None:
+            rows = shared.keep(_with_comp(rows.select("key", "node"), components(links)), "hub-comps")
+        else:
+            rows = rows.withColumn("comp", F.col("node"))
+        # Each node with the hub, of another component, of most of its tiles.
+        hubs = rows.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64(F.lit(order), "node")).alias("hub"))
+        tried = rows.join(hubs, "key").where("comp <> hub.comp").groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("times"))
+        best = tried.groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
+        new = verify(best.select(F.col("node").alias("x"), F.col("hub").alias("y")), found.arrays, rule)
+        links = shared.keep(new if links is None else new.unionByName(links), "hub-links")
+    more = shared.keep(linked(found, rule, components(links)).where("x <> y").select("x", "y"), "near-links")
+    return _documents(found), links.unionByName(more)
+
+
+def _named(documents: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents with shingles, and (node, component_id, copies, hot) of their nodes."""
+    nodes = documents.where("node is not null")
+    smallest = _with_comp(nodes.groupBy("node").agg(F.min("doc_id").alias("low")), components(links))
+    return nodes, smallest.join(smallest.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("node", "component_id")
 
 
 def near_components(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, the document's own among them."""
-    documents, links = join_near(docs, rule)
-    comps = components(links)
-    # Documents without shingles are kept apart from the joins by node.
+    documents, links = near_links(docs, rule)
+    nodes, named = _named(documents, links)
     alone = documents.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    nodes = documents.where("node is not null")
-    smallest = _with_comp(nodes.groupBy("node").agg(F.min("doc_id").alias("low")), comps)
-    named = smallest.join(smallest.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("node", "component_id")
-    return nodes.join(named, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return shared.join_spread(nodes, named, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+
+
+def near_join(docs: DataFrame, rule: Rule = OP5) -> DataFrame:
+    """doc_id, n_shingles, component_id as near_components, and n_links: the other documents that the document is linked with."""
+    documents, links, counts = join_near(docs, rule)
+    nodes, named = _named(documents, links)
+    named = named.join(counts.select("node", (F.col("copies") - 1 + F.col("near")).alias("n_links")), "node")
+    alone = documents.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return shared.join_spread(nodes, named, "node").select("doc_id", "n_shingles", "component_id", "n_links").unionByName(alone)
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
-    return near_components(shared.table(spark, sf_dir, "documents"))
+    return near_join(shared.table(spark, sf_dir, "documents"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, of 5-word shingles and 80 per cent: of each component the document with the smallest id stays; one row of each id."""
+    """Pipeline stage, of 5-word shingles and 80 per cent: one row of each component stays, that with the smallest doc_id.
+
+    Of rows with one doc_id in a component one stays, whichever; a null doc_id comes after all others. Rows without words all stay.
+    """
     shared.prepare(spark)
-    first = near_components(docs, STAGE).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    row = shared.unused("row", docs)
+    docs = shared.keep(docs.withColumn(row, F.monotonically_increasing_id()), "stage-rows")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    first = near_components(docs.select(key.alias("doc_id"), "text"), STAGE).where("doc_id = component_id").select(F.col("doc_id.row").alias(row))
+    return docs.join(first, row, "left_semi").drop(row)

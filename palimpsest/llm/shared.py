@@ -24,14 +24,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh local one only where none is named."""
+    """The shared folder the cluster names. Where none is named, a local session gets a folder of its own; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that df does not have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def join_spread(rows: DataFrame, named: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """rows joined with named on a key that is unique in named and may be very frequent in rows.
+
+    At most ``share`` keys can each hold more than one of ``share`` parts of the rows: those are broadcast, all others shuffled.
+    """
+    counts = rows.groupBy(key).count()
+    total = rows.count()
+    hot = keep(named.join(counts.where(F.col("count") * share > total).select(key), key, "left_semi"), "hot-keys")
+    often = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(often, key, "left_anti").join(named, key))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -113,8 +113,74 @@ def test_jaccard_equals_brute_force(spark):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
                 a, b = sorted((label[i], label[j]))
                 label = [a if x == b else x for x in label]
+    links = [sum(bool(a) and i != j and 100 * len(a & b) >= 90 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_components(df).collect()}
     assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.near_join(df).collect()}
+    assert got == {i: (len(s), label[i], links[i]) for i, s in enumerate(sets)}
+
+
+def test_one_large_near_group_equals_brute_force(spark):
+    rng = random.Random(8)
+    base = ["b%d" % i for i in range(150)]
+    texts = []
+    for k in range(2000):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice((0, 1, 1, 2, 3))):
+            words[at] = "x%d" % rng.randrange(5)
+        texts.append(" ".join(words))
+    texts += [" ".join(["q%d" % i for i in range(40)] + base[:110])] * 3 + [None, "", "lone", "lone"]
+    sets = [{" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if (w := (t or "").split()) else set() for t in texts]
+    number = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[x] for x in s]] = 1
+    both, size = has @ has.T, has.sum(1)
+    link = (100 * both >= 90 * (size[:, None] + size - both)) & (both > 0)
+    label = np.arange(len(sets))
+    while True:
+        new = np.array([label[r].min() if r.any() else label[i] for i, r in enumerate(link)])
+        if (new == label).all():
+            break
+        label = new
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.near_join(df).collect()}
+    assert got == {i: (len(s), label[i], link[i].sum()) for i, s in enumerate(sets)}
+    got = {r.doc_id: r.component_id for r in jaccard.near_components(df).collect()}
+    assert got == dict(enumerate(label.tolist()))
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n)), "".join("ba"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_of_one_structure_are_told_apart(spark):
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    texts = [x for n in (64, 1024, 2048, 4096) for x in thue_morse(n)]
+    texts += [f"{t} {t[::-1]} same" for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert all(r.component_id == r.doc_id and r.n_links == 0 for r in jaccard.near_join(df).collect())
+    tk, sp = Tokenizer.from_file(P.path("byte_bpe_50k.json")), SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    own = {}
+    for r in packing._public(df).collect():
+        ids = tk.encode(texts[r.doc_id], add_special_tokens=False).ids + [0]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        own[r.doc_id] = own.get(r.doc_id, 0) + r.length - len(ids) * (r.start == 0)
+    assert own == dict.fromkeys(range(len(texts)), 0)
+    assert {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df, P.path("piece_bpe_32k.model"), 10).collect()} == {i: len(sp.encode(t)) for i, t in enumerate(texts)}
+
+
+def test_near_stage_keeps_one_row_of_each_group(spark):
+    rows = [(None, "one two three four five six", "en"), (None, "one two three four five six", "fr"), (7, "one two three four five six", "x"), (7, "one two three four five six", "y"), (3, "other words are in this one", "z"), (3, "nothing of those can be found here", "z"), (None, "a text of its own for a row without id", "z"), (None, None, "n"), (8, "", "n"), (8, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    kept = sorted((str(r.doc_id), str(r.text)) for r in jaccard.stage(spark, df, "").collect())
+    assert jaccard.stage(spark, df, "").columns == df.columns
+    assert kept == sorted([("7", rows[2][1]), ("3", rows[4][1]), ("3", rows[5][1]), ("None", rows[6][1]), ("None", "None"), ("8", ""), ("8", "None")])
+    named = {(r.doc_id, r.component_id) for r in jaccard.near_join(df).collect()}
+    assert (None, 7) in named and (None, None) in named and (3, 3) in named
 
 
 def test_near_stage_equals_brute_force_of_five_words(spark, tmp_path):
@@ -304,6 +370,8 @@ def test_empty_tables(spark):
     assert packing._public(docs).count() == 0
     assert decontaminate.find(docs, bench).count() == 0
     assert jaccard.near_components(docs).count() == 0
+    assert jaccard.near_join(docs).count() == 0
+    assert jaccard.stage(spark, docs, "").count() == 0
     assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 0
     assert langid.predict(docs, langid.fit(docs)).count() == 0
     assert mpegts.digest(docs).count() == 0
