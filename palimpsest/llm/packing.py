@@ -2,17 +2,24 @@
 
 A level array counts the open windows at each fill level. Each remainder of a
 document goes to the level, or to a new window, that leaves the sum of the
-squared counts smallest; whole windows of a long document are windows of their
-own. Documents are cut freely, so when the input of a task ends (or more
-windows are open than ``max_open``) the open windows are joined, piece after
-piece, into full ones; what is left in the end becomes sequences whose lengths
-are powers of two, which need no padding.
+squared counts smallest (ties: to the fullest); whole windows of a long document
+are windows of their own. A window that a remainder fills exactly is closed.
+
+What is open when the input of a task ends stays as the level array placed it
+and is filled up: documents may be cut, so the fullest window takes what it
+lacks from the emptiest one, until one is left, which becomes sequences whose
+lengths are powers of two. So no padding is left. The column ``placed`` tells
+which windows the level array closed. The same happens when MAX_OPEN windows
+are open, which bounds memory and is reached only if hardly any two remainders
+fit into one window.
 
 Every task packs its own rows, in one pass and without a shuffle; a sequence
 never holds rows of two tasks, and its id is the task's number and a counter.
 
-Cases: a null or empty text is its end token alone. Repeated rows are packed
-each for itself. Memory: one block of text, its ids, and the open windows.
+Cases: a null or empty text is its end token alone. Repeated rows, and rows
+with equal or null doc_ids, are packed each for itself. An empty table gives
+no pieces; other columns are ignored. Memory: one block of text (or the longest
+text), its ids, and the open windows.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from pyspark.sql import types as T
 from palimpsest.llm import shared
 from palimpsest.llm.blocks import Block, SpanCache, blocks
 
-PIECE_COLUMNS = [("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType())]
+PIECE_COLUMNS = [("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("placed", T.StringType())]
 
 
 class ByteLevelIds:
@@ -92,85 +99,100 @@ class ByteLevelIds:
         return ids, offsets
 
 
+#: Open windows of a task; 4 KiB of ids each at most.
+MAX_OPEN = 16_384
+#: Of ``placed``: a window of one document, one that the level array closed, one that was open at the end.
+WHOLE, LEVEL, END = "whole", "level", "end"
+
+
 class Packer:
     """The windows of one task. Pieces are (document, start, ids, tokens of the document)."""
 
-    def __init__(self, window: int, first_sequence: int, max_open: int = 2048):
+    def __init__(self, window: int, first_sequence: int = 0, max_open: int = MAX_OPEN):
         self.window, self.next, self.max_open = window, first_sequence, max_open
         self.counts = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
-        self.n_open = 0
         self.out: list[tuple] = []
 
-    def _close(self, pieces: list) -> None:
+    def _close(self, pieces: list, placed: str) -> None:
         offset = 0
         for doc, start, ids, tokens in pieces:
-            self.out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()) & 0xFFFFFFFF, tokens, self.next, offset))
+            self.out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()) & 0xFFFFFFFF, tokens, self.next, offset, placed))
             offset += len(ids)
         self.next += 1
 
+    def level_for(self, rest: int) -> int:
+        """The level of the window that a remainder goes to, 0 for a new one."""
+        w, c = self.window, self.counts
+        # Change of the sum of squares: a new window, or one at level h.
+        grow = 2 * c[rest : w + 1] + 1  # what a window more at level h + rest adds
+        grow[-1] = 0  # a full window is closed and not counted
+        cost = np.where(c[: w - rest + 1] > 0, 1 - 2 * c[: w - rest + 1], np.int64(1) << 40) + grow
+        cost[0] = grow[0]
+        return len(cost) - 1 - int(cost[::-1].argmin())
+
     def add(self, doc: int, ids: np.ndarray) -> None:
         w, n = self.window, len(ids)
         rest = n % w
         for start in range(0, n - rest, w):
-            self._close([(doc, start, ids[start : start + w], n)])
+            self._close([(doc, start, ids[start : start + w], n)], WHOLE)
         if not rest:
             return
-        piece = (doc, n - rest, ids[n - rest :].copy(), n)
-        # Change of the sum of squares: a new window, or one at level h.
-        c = self.counts
-        grow = 2 * c[rest : w + 1] + 1  # what a window more at level h + rest adds
-        grow[-1] = 0  # a full window is closed and not counted
-        cost = np.where(c[: w - rest + 1] > 0, 1 - 2 * c[: w - rest + 1], 4 * self.max_open) + grow
-        cost[0] = grow[0]
-        h = len(cost) - 1 - int(cost[::-1].argmin())
+        h = self.level_for(rest)
+        pieces = []
         if h:
             pieces = self.open[h].pop()
-            c[h] -= 1
-            self.n_open -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
+            self.counts[h] -= 1
+        pieces.append((doc, n - rest, ids[n - rest :].copy(), n))
         if h + rest == w:
-            self._close(pieces)
-        else:
-            self.open[h + rest].append(pieces)
-            c[h + rest] += 1
-            self.n_open += 1
-            if self.n_open > self.max_open:
-                self.join(last=False)
-
-    def join(self, last: bool) -> None:
-        """Joins the open windows into full ones, cutting pieces; with last, nothing stays open."""
-        held, level = [], 0
-        waiting = [p for bins in self.open for pieces in bins for p in pieces]
+            self._close(pieces, LEVEL)
+            return
+        self.open[h + rest].append(pieces)
+        self.counts[h + rest] += 1
+        if not h and self.counts.sum() > self.max_open:
+            self.fill_up(last=False)
+
+    def fill_up(self, last: bool) -> None:
+        """Closes the open windows: the fullest one takes what it lacks from the emptiest. One may be left; with last, it is closed too."""
+        waiting = [pieces for windows in reversed(self.open) for pieces in windows]
         self.open = [[] for _ in range(self.window + 1)]
         self.counts[:] = 0
-        self.n_open = 0
-        for doc, start, ids, tokens in waiting:
-            while len(ids):
-                take = min(len(ids), self.window - level)
-                held.append((doc, start, ids[:take], tokens))
-                start, ids, level = start + take, ids[take:], level + take
-                if level == self.window:
-                    self._close(held)
-                    held, level = [], 0
-        if not held:
-            return
-        if not last:
-            self.open[level].append(held)
-            self.counts[level] = self.n_open = 1
-            return
-        size, group, room = 1 << level.bit_length() - 1, [], 1 << level.bit_length() - 1
+        end = len(waiting)
+        for k in range(end):
+            pieces = waiting[k]
+            room = self.window - sum(len(p[2]) for p in pieces)
+            while room and end > k + 1:
+                donor = waiting[end - 1]
+                doc, start, ids, tokens = donor.pop()
+                if len(ids) > room:
+                    donor.append((doc, start + room, ids[room:], tokens))
+                    ids = ids[:room]
+                pieces.append((doc, start, ids, tokens))
+                room -= len(ids)
+                if not donor:
+                    end -= 1
+            if k + 1 >= end:
+                level = self.window - room
+                if not room:
+                    self._close(pieces, END)
+                elif last:
+                    self._powers_of_two(pieces, level)
+                else:
+                    self.open[level].append(pieces)
+                    self.counts[level] = 1
+                return
+            self._close(pieces, END)
+
+    def _powers_of_two(self, held: list, level: int) -> None:
+        group, room = [], 1 << level.bit_length() - 1
         for doc, start, ids, tokens in held:
             while len(ids):
                 take = min(len(ids), room)
                 group.append((doc, start, ids[:take], tokens))
                 start, ids, level, room = start + take, ids[take:], level - take, room - take
                 if not room:
-                    self._close(group)
-                    group = []
-                    size = room = 1 << level.bit_length() - 1 if level else 0
+                    self._close(group, END)
+                    group, room = [], 1 << level.bit_length() - 1 if level else 0
 
 
 _IDS: dict[str, ByteLevelIds] = {}
@@ -187,9 +209,9 @@ def pack(docs: DataFrame, json_path: str, window: int = 1024, end_id: int = 0) -
         schema = None
 
         def emit():
-            columns = list(zip(*packer.out)) if packer.out else [[] for _ in range(7)]
+            columns = list(zip(*packer.out)) if packer.out else [[] for _ in range(8)]
             packer.out = []
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], schema), *(pa.array(x, pa.int64()) for x in columns[1:])], names=["doc_id", *(n for n, _ in PIECE_COLUMNS)])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], schema), *(pa.array(x, pa.int64()) for x in columns[1:7]), pa.array(columns[7], pa.string())], names=["doc_id", *(n for n, _ in PIECE_COLUMNS)])
 
         for batch in batches:
             schema = batch.schema.field(0).type
@@ -200,7 +222,7 @@ def pack(docs: DataFrame, json_path: str, window: int = 1024, end_id: int = 0) -
                     packer.add(doc, ids[a:b])
                 yield emit()
         if schema is not None:
-            packer.join(last=True)
+            packer.fill_up(last=True)
             yield emit()
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, t) for n, t in PIECE_COLUMNS)]))

@@ -67,6 +67,48 @@ def test_packing_covers_every_id_once(spark):
         assert at == len(ids)
 
 
+def test_packing_takes_the_least_sum_of_squares():
+    rng = random.Random(6)
+    packer, levels, closed = packing.Packer(16), [], []  # levels: of the open windows, brute force over all choices
+    for doc in range(600):
+        n = rng.randint(1, 40)
+        packer.add(doc, np.arange(n, dtype="<u4"))
+        if rest := n % 16:
+            squares = lambda x: sum(x.count(k) ** 2 for k in range(1, 16))
+            options = [(squares([*levels, rest]), 0, None)]
+            options += [(squares(levels[:i] + levels[i + 1 :] + ([h + rest] if h + rest < 16 else [])), -h, i) for i, h in enumerate(levels) if h + rest <= 16]
+            _, h, i = min(options, key=lambda x: x[:2])
+            if i is not None:
+                levels.pop(i)
+            if rest - h < 16:
+                levels.append(rest - h)
+            else:
+                closed.append(doc)
+        assert sorted(levels) == [k for k in range(17) for _ in packer.open[k]] and packer.counts.tolist() == [levels.count(k) for k in range(17)]
+    assert [r[0] for r in packer.out if r[7] == packing.LEVEL and r[6] + r[2] == 16] == closed and len(closed) > 100
+    before, kept = len(packer.out), {p[0]: k for k, windows in enumerate(packer.open) for pieces in windows for p in pieces[:1]}
+    packer.fill_up(last=True)
+    ends = {}
+    for r in packer.out[before:]:
+        ends.setdefault(r[5], []).append(r)
+    sizes = [sum(r[2] for r in x) for x in ends.values()]
+    assert all(x in (1, 2, 4, 8, 16) for x in sizes) and sum(x < 16 for x in sizes) <= 4
+    # The windows that were filled up begin as the level array left them.
+    assert sum(x[0][0] in kept for x in ends.values()) >= 0.6 * len(kept)
+
+
+def test_packing_of_remainders_that_never_fit_stays_bounded():
+    packer = packing.Packer(1024, max_open=50)
+    for doc in range(500):
+        packer.add(doc, np.arange(700, dtype="<u4"))
+        assert packer.counts.sum() <= 50
+    packer.fill_up(last=True)
+    covered = {}
+    for r in packer.out:
+        covered[r[0]] = covered.get(r[0], 0) + r[2]
+    assert covered == dict.fromkeys(range(500), 700)
+
+
 def test_decontamination_equals_brute_force(spark):
     texts, df = corpus(spark)
     rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
