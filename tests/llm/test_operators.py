@@ -11,7 +11,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 
 from palimpsest.llm import decontaminate, jaccard, langid, lattice, mpegts, packing, sharding, tokencount, toxicity, warc  # noqa: E402
-from palimpsest.llm.blocks import blocks  # noqa: E402
+from palimpsest.llm.blocks import Block, blocks  # noqa: E402
 from palimpsest.llm.components import components  # noqa: E402
 
 ODD = [None, "", " ", "\n\t ", "a", "one two", "naïve Ünïcode ▁ x  y", "日本語 　テスト 😀", "<|endoftext|> a<|endoftext|> <s>", "it's  I'M 12345 ½²\r\n z", "x" * 30_000, "word " * 5_000]
@@ -261,81 +261,59 @@ def test_components_of_a_chain(spark):
     assert {r.node: r.comp for r in components(links).collect()} == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
-def test_lattice_base_counts_and_marginals(spark):
-    from pyspark.sql import functions as F
-
-    texts, df = corpus(spark, 80)
-    rx = re.compile(r"[^\x20\x09-\x0D]+")
-    words = [rx.findall(lower(t or "")) for t in texts]
-    held = [i % 4 == 1 for i in range(len(texts))]
-    counts, ends = {}, 0
-    for w, h in zip(words, held):
-        if not h:
-            ends += 1
-            for x in w:
-                counts[x] = counts.get(x, 0) + 1
-    n, v = sum(counts.values()) + ends, len(counts) + 1
-    base = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    for r in lattice.score(df, F.col("doc_id") % 4 != 1, P.path("piece_bpe_32k.model")).collect():
-        w = words[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w) + 1, sum(x in counts for x in w) + 1, n)
-        assert r.base_score == pytest.approx(sum(base(counts.get(x, 0)) for x in w) + base(ends))
-        assert r.score < 0
-
+def segmentations(raw, pieces):
+    """Log of the summed probability of all segmentations, by trying every one from the left."""
+    if not raw:
+        return 0.0
+    ways = [pieces.byte_logp + segmentations(raw[1:], pieces)]
+    for size in range(1, len(raw) + 1):
+        h = np.uint64(Block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 0, np.zeros(1, bool)).hashes(np.array([0]), np.array([size]))[0])
+        if h in pieces.hashes:
+            ways.append(pieces.logp[np.searchsorted(pieces.hashes, h)] + segmentations(raw[size:], pieces))
+    return np.logaddexp.reduce(ways)
 
-def test_lattice_sums_all_segmentations():
-    from palimpsest.llm.blocks import Block
 
-    words = [b" ab", b" the", b" naive", " é".encode(), b" " + b"q" * 40]
+def test_lattice_sums_all_segmentations_of_all_sizes():
+    words = [b" ab", b" the", b" naive", " é".encode(), b" qqqqqqq", b" \xff\xfe", b" international"]
     cuts = np.concatenate(([0], np.cumsum([len(w) for w in words])))
     block = Block(np.frombuffer(b"".join(words), np.uint8), cuts, 0, np.zeros(len(words), bool))
     pieces = lattice.Pieces.existing(P.path("piece_bpe_32k.model"))
-    other = lattice.Pieces(pieces.hashes, pieces.logp - 0.5, pieces.byte_logp, pieces.end_logp)
-
-    def piece(m, raw):
-        b = Block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 0, np.zeros(1, bool))
-        i = np.searchsorted(m.hashes, b.hashes(np.array([0]), np.array([len(raw)]))[0])
-        return m.logp[i] if i < len(m.hashes) and m.hashes[i] == b.hashes(np.array([0]), np.array([len(raw)]))[0] else -np.inf
-
-    def brute(m, raw):
-        alpha = [0.0] + [-np.inf] * len(raw)
-        for to in range(1, len(raw) + 1):
-            alpha[to] = alpha[to - 1] + m.byte_logp[raw[to - 1]]
-            for size in range(1, min(to, lattice.LONGEST) + 1):
-                alpha[to] = np.logaddexp(alpha[to], alpha[to - size] + piece(m, raw[to - size : to]))
-        return alpha[-1]
-
-    got = lattice.marginals(block, [pieces, other])
-    assert np.allclose(got, [[brute(m, w) for m in (pieces, other)] for w in words])
+    assert pieces.sizes[-1] == max(len(p.replace("\u2581", " ").encode()) for p in tokencount.read_pieces(P.path("piece_bpe_32k.model"))) > 24
+    assert np.allclose(lattice.marginals(block, pieces), [segmentations(w, pieces) for w in words])
+    assert np.exp(pieces.logp).sum() + 256 * np.exp(pieces.byte_logp) + pieces.end_share == pytest.approx(1)
 
 
-def test_lattice_arcs_and_segmentations_sum_to_one():
-    counts = np.array([5, 2, 2, 1, 1, 1])
-    arcs = lattice.Arcs.of(len(counts), int(counts.sum()) + 3, 3, 2)
-    spelt = np.log(np.full(6, 1 / 6))
-    assert np.exp(arcs.add(spelt, counts)).sum() + 3 / arcs.total == pytest.approx(1)
-    assert lattice.Arcs.of(0, 0, 0, 0).share == 1
-
-
-def test_lattice_groups_beat_the_base_and_ignore_the_scored_row(spark):
+def test_lattice_scores_equal_brute_force(spark):
+    """Counts, base and score of every row, with repeated and null keys and clashing columns."""
     from pyspark.sql import functions as F
 
-    rng = random.Random(2)
-    rows = []
-    for i in range(600):
-        parts = ["ba", "ne", "lo", "ti"] if i % 2 else ["krz", "ow", "ich", "sta"]
-        rows.append((i, " ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(40)), ("x", "y")[i % 2] if i % 7 else None))
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    run = lambda d, **k: {r.doc_id: (r.score, r.base_score) for r in lattice.score(d, F.col("doc_id") % 5 != 1, P.path("piece_bpe_32k.model"), **k).collect()}
-    got = run(df, group="lang")
-    held = [i for i in got if i % 5 == 1]
-    assert sum(got[i][0] for i in held) > sum(got[i][1] for i in held)
-    hidden = df.withColumn("lang", F.when(F.col("doc_id") % 5 != 1, F.col("lang")))
-    assert {i: pytest.approx(x) for i, x in run(hidden, group="lang").items()} == got
-    nothing = spark.createDataFrame([], df.schema)
-    assert run(nothing, group="lang") == {}
-    untrained = lattice.score(df.limit(3), F.lit(False), P.path("piece_bpe_32k.model"), group="lang").collect()
-    assert len(untrained) == 3 and all(r.score < 0 and r.n_known == 0 and r.train_tokens == 0 for r in untrained)
+    rng = random.Random(4)
+    texts = [t if t is None or len(t) < 200 else t[:30] for t in ODD] + [" ".join(rng.choices(["ab", "the", "Net", "é", "cat"], k=rng.randint(1, 6))) for _ in range(60)]
+    rows = [(None if i % 9 == 4 else i // 2, t, i % 4 != 1, "w", 1, 0.5) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, trained boolean, word string, h int, score double").repartition(3)
+    rx = re.compile(r"[^\x20\x09-\x0D]+")
+    counts, ends = {}, 0
+    for _, t, f, *_ in rows:
+        if f:
+            ends += 1
+            for x in rx.findall(lower(t or "")):
+                counts[x] = counts.get(x, 0) + 1
+    n, v = sum(counts.values()) + ends, len(counts) + 1
+    base = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+    pieces = lattice.calibrate(spark.createDataFrame([(bytearray(w.encode()), c) for w, c in counts.items()], "word binary, trained long"), lattice.Pieces.existing(P.path("piece_bpe_32k.model")), ends)
+    memo = {w: segmentations(b" " + w.encode(), pieces) / np.log(10) for w in {x for t in texts for x in rx.findall(lower(t or "")) if len(x) < 12}}
+    want = []
+    for d, t, *_ in rows:
+        w = rx.findall(lower(t or ""))
+        lm = sum(memo[x] for x in w) + np.log10(pieces.end_share) if all(x in memo for x in w) else None
+        want.append((-1 if d is None else d, len(w) + 1, sum(x in counts for x in w) + 1, n, sum(base(counts.get(x, 0)) for x in w) + base(ends), lm))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lattice.score(df, F.col("trained"), P.path("piece_bpe_32k.model")).collect())
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want, key=lambda x: x[:5] + (x[5] or 0,))):
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4]) and (b[5] is None or a[5] == pytest.approx(b[5]))
+    assert lattice.score(df.where("false"), F.col("trained"), P.path("piece_bpe_32k.model")).count() == 0
+    untrained = lattice.score(df, F.lit(False), P.path("piece_bpe_32k.model")).collect()
+    assert len(untrained) == len(rows) and all(r.score < 0 and r.n_known == 0 and r.train_tokens == 0 for r in untrained)
 
 
 def test_shards_are_exact(spark):
