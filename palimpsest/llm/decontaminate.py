@@ -1,30 +1,36 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-A shard is a block of documents, as word numbers: the words of the benchmark
-have numbers from 1, and a word that no benchmark item has, which no occurrence
-can hold, is a break. Stretches too short to hold any window are left out. The
-shard's suffix array gives the Burrows-Wheeler transform, kept as a wavelet
-matrix; all windows of the benchmark are searched backwards at once through
-its ranks; occurrences are located by walking to sampled suffix positions; and
-the spans they cover are merged.
-
-The benchmark is collected in blocks of bounded size, each broadcast by
-itself, and each shard is searched for each block: nothing limits its size but
-time. Words are compared by 64-bit hashes.
+A shard is a block of whole documents, as numbers of its words with a break
+after each document. Its suffix array gives the Burrows-Wheeler transform, kept
+as a wavelet matrix of bit vectors with counted ranks; all windows of the
+benchmark whose words the shard has are searched backwards at once through
+these ranks; occurrences are located by walking to sampled suffix positions;
+and the spans they cover are merged.
+
+The benchmark is read in blocks of bounded size. If it is no more than one
+block, that is broadcast and one pass does all. Otherwise each block is
+broadcast by itself, its finds are written to the shared folder, and the block
+is let go before the next is read; a last pass merges what was found. Words are
+compared by 64-bit hashes.
 
 Cases: null, empty and wordless documents have no words and no hits; such
 items have no windows. An item shorter than a window is one window by itself.
-Repeated items and repeated rows count each. Overlapping occurrences merge.
+Items of one id are one item; the windows of an item without id hit, but it is
+neither counted nor named. Each row of the documents has its row of the result.
+Overlapping occurrences merge. Input columns with the names of added ones are
+replaced by them (``names`` gives others). Empty tables: no hits, or no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm import shared
@@ -35,49 +41,76 @@ BENCHMARK_BLOCK_BYTES = 4_000_000
 SAMPLE = 16
 
 
+class BitVector:
+    """Packed bits with the number of ones before each word of 64."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits, bitorder="little")
+        self.words = np.concatenate((packed, np.zeros(8 - len(packed) % 8, np.uint8))).view(np.uint64)
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)))
+
+    def rank(self, position: np.ndarray) -> np.ndarray:
+        """Ones before each position."""
+        word = position >> 6
+        below = (np.uint64(1) << (position & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & below)
+
+    def get(self, position: np.ndarray) -> np.ndarray:
+        return (self.words[position >> 6] >> (position & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 class WaveletMatrix:
     """Ranks of symbols in a sequence, for many (symbol, position) at once."""
 
     def __init__(self, seq: np.ndarray, bits: int):
         self.bits, self.ones, self.zeros = bits, [], []
         for level in range(bits - 1, -1, -1):
-            bit = (seq >> level) & 1
-            ones = np.zeros(len(seq) + 1, np.int32)
-            np.cumsum(bit, out=ones[1:])
-            self.ones.append(ones)
-            self.zeros.append(len(seq) - int(ones[-1]))
-            seq = np.concatenate((seq[bit == 0], seq[bit == 1]))
+            bit = (seq >> level) & 1 == 1
+            self.ones.append(BitVector(bit))
+            self.zeros.append(len(seq) - int(np.count_nonzero(bit)))
+            seq = np.concatenate((seq[~bit], seq[bit]))
 
     def rank(self, symbol: np.ndarray, position: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each position."""
         begin, end = np.zeros_like(position), position
         for k in range(self.bits):
             one = ((symbol >> (self.bits - 1 - k)) & 1).astype(bool)
-            a, b = self.ones[k][begin], self.ones[k][end]
+            a, b = self.ones[k].rank(begin), self.ones[k].rank(end)
             begin = np.where(one, self.zeros[k] + a, begin - a)
             end = np.where(one, self.zeros[k] + b, end - b)
         return end - begin
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """By prefix doubling. Each 0 is a break, smaller than all words and different from every other break."""
-    n = len(seq)
+    """By prefix doubling over what is tied still. Each 0 is a break, smaller than all words and different from every other; the last symbol is one."""
     breaks = np.flatnonzero(seq == 0)
-    rank = seq.astype(np.int64) + len(breaks)
-    rank[breaks] = np.arange(len(breaks))
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+    symbol = seq.astype(np.int64) + len(breaks)
+    symbol[breaks] = np.arange(len(breaks))
+    order = np.argsort(symbol, kind="stable")
+
+    def firsts(new: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each element the place of the first one of its group."""
+        return np.maximum.accumulate(np.where(new, at, 0))
+
+    sorted_ = symbol[order]
+    rank = np.empty(len(seq), np.int64)
+    rank[order] = firsts(np.concatenate(([True], sorted_[1:] != sorted_[:-1])), np.arange(len(seq)))
     k = 1
     while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - k)] = rank[k:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.zeros(n, np.int64)
-        new[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
-        rank, k = new, 2 * k
-        if n == 0 or int(rank.max()) == n - 1:
+        own = rank[order]
+        alone = np.concatenate(([True], own[1:] != own[:-1]))
+        tied = np.flatnonzero(~(alone & np.concatenate((alone[1:], [True]))))
+        if not len(tied):
             return order
+        while len(tied):  # ties hold no break, so k symbols on there is a suffix still
+            group, after = rank[order[tied]], rank[order[tied] + k]
+            by = np.lexsort((after, group))
+            order[tied] = order[tied][by]
+            group, after = group[by], after[by]
+            new = np.concatenate(([True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])))
+            rank[order[tied]] = firsts(new, tied)
+            tied = tied[~(new & np.concatenate((new[1:], [True])))]
+            k *= 2
 
 
 class FMIndex:
@@ -85,14 +118,14 @@ class FMIndex:
 
     def __init__(self, seq: np.ndarray, symbols: int, sample: int = SAMPLE):
         sa = suffix_array(seq)
-        self.bwt = seq[sa - 1]  # sa 0 gives the last symbol, a break
+        self.bwt = seq[sa - 1].astype(np.int32)  # sa 0 gives the last symbol, a break
         self.tree = WaveletMatrix(self.bwt, max(1, int(symbols).bit_length()))
         self.before = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=symbols + 1))))
         kept = np.zeros(len(seq), bool)
         kept[::sample] = True
         kept[np.flatnonzero(seq == 0) + 1 - len(seq)] = True  # so that no walk crosses a break
-        self.sampled = kept[sa]
-        self.positions = np.where(self.sampled, sa, -1)
+        sampled = kept[sa]
+        self.sampled, self.positions = BitVector(sampled), sa[sampled].astype(np.int32)
 
     def _step(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         return self.before[symbol] + self.tree.rank(symbol, row)
@@ -114,21 +147,20 @@ class FMIndex:
         out = np.full(len(rows), -1, np.int64)
         at, row, steps = np.arange(len(rows)), rows.copy(), 0
         while len(at):
-            done = self.sampled[row]
-            out[at[done]] = self.positions[row[done]] + steps
+            done = self.sampled.get(row)
+            out[at[done]] = self.positions[self.sampled.rank(row[done])] + steps
             at, row = at[~done], row[~done]
-            row = self._step(self.bwt[row], row)
+            row = self._step(self.bwt[row].astype(np.int64), row)
             steps += 1
         return out
 
 
 @dataclass
 class Windows:
-    """The windows of some benchmark items: words (hashes, sorted), and by length the windows and the item of each."""
+    """The windows of some benchmark items. items: their ids; by_length: distinct windows of word hashes, and (window, item) pairs in order."""
 
-    words: np.ndarray
-    items: list[str]
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]]  # distinct windows; (window, item) pairs
+    items: list[str | None]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
     def of(ids: list, texts: list[str | None], size: int) -> "Windows":
@@ -138,139 +170,184 @@ class Windows:
             s, e = low.spans(ALNUM_OR_HIGH)
             h, first = low.hashes(s, e), low.first_of_row(s)
             own += [h[a:b] for a, b in zip(first[:-1], first[1:])]
-        words = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
         found: dict[int, list] = {}
         for k, h in enumerate(own):
             if len(h):
-                seq = np.searchsorted(words, h) + 1
-                m = min(size, len(seq))
-                w = np.lib.stride_tricks.sliding_window_view(seq, m)
+                m = min(size, len(h))
+                w = np.lib.stride_tricks.sliding_window_view(h, m)
                 found.setdefault(m, []).append((w, np.full(len(w), k)))
         by_length = {}
         for m, parts in found.items():
             w, which = np.unique(np.concatenate([p[0] for p in parts]), axis=0, return_inverse=True)
             pairs = np.unique(np.stack((which.reshape(-1), np.concatenate([p[1] for p in parts])), 1), axis=0)
-            by_length[m] = (w.astype(np.int64), pairs)
-        return Windows(words, [str(i) for i in ids], by_length)
+            by_length[m] = (w, pairs)
+        return Windows([None if i is None else str(i) for i in ids], by_length)
 
     def occurrences(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """In a shard of words with first[i] the first word of row i: (word position, length, window number within its length) arrays."""
-        n = len(hashes)
+        n, rows = len(hashes), len(first) - 1
         none = np.zeros(0, np.int64)
-        if not n or not len(self.words):
+        if not n:
             return none, none, none
-        i = np.searchsorted(self.words, hashes)
-        i[i == len(self.words)] = 0
-        number = np.where(self.words[i] == hashes, i + 1, 0)
-        starts_row = np.zeros(n + 1, bool)
-        starts_row[first] = True
-        keep = np.zeros(n, bool)
+        words, number = np.unique(hashes, return_inverse=True)
+        wanted = []
         for m, (windows, _) in self.by_length.items():
-            own = np.zeros(len(self.words) + 1, bool)
-            own[windows.reshape(-1)] = True
-            good = own[number]
-            edge = np.flatnonzero(np.concatenate(([True], (good[1:] != good[:-1]) | starts_row[1:n])))
-            size = np.diff(np.append(edge, n))
-            long = good[edge] & (size >= m)
-            mark = np.zeros(n + 1, np.int32)
-            mark[edge[long]] += 1
-            mark[edge[long] + size[long]] -= 1
-            keep |= np.cumsum(mark[:-1]) > 0
-        kept = np.flatnonzero(keep)
-        if not len(kept):
+            i = np.searchsorted(words, windows)
+            i[i == len(words)] = 0
+            there = np.flatnonzero((words[i] == windows).all(1))
+            if len(there):
+                wanted.append((m, there, i[there] + 1))
+        if not wanted:
             return none, none, none
-        # A break wherever the next kept word is not the next word of the row, and at the end.
-        gap = np.flatnonzero(np.append((np.diff(kept) > 1) | starts_row[kept[1:]], True))
-        seq = np.insert(number[kept], gap + 1, 0).astype(np.int64)
-        origin = np.insert(kept, gap + 1, -1)
-        index = FMIndex(seq, len(self.words))
-        pos, length, window = [], [], []
-        for m, (windows, _) in self.by_length.items():
-            low, high = index.search(windows)
+        seq = np.insert(number.astype(np.int64) + 1, first[1:], 0)
+        row = np.repeat(np.arange(rows), np.diff(first) + 1)
+        index = FMIndex(seq, len(words))
+        pos, length, window = [none], [none], [none]
+        for m, there, patterns in wanted:
+            low, high = index.search(patterns)
             count = high - low
-            rows = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
-            pos.append(origin[index.locate(rows)])
-            length.append(np.full(len(rows), m))
-            window.append(np.repeat(np.arange(len(windows)), count))
+            found = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            at = index.locate(found)
+            pos.append(at - row[at])  # without the breaks
+            length.append(np.full(len(at), m))
+            window.append(np.repeat(there, count))
         return np.concatenate(pos), np.concatenate(length), np.concatenate(window)
 
-
-def read_benchmark(benchmark: DataFrame, size: int) -> list:
-    """Broadcasts of Windows, each of at most BENCHMARK_BLOCK_BYTES of item texts (one item at least)."""
-    sc = benchmark.sparkSession.sparkContext
-    out, ids, texts, held = [], [], [], 0
+    def find(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
+        """Which words lie inside an occurrence, and the ids of the items found in each row that has some."""
+        pos, length, window = self.occurrences(hashes, first)
+        hit = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(hit, pos, 1)
+        np.add.at(hit, pos + length, -1)
+        row = np.searchsorted(first[1:], pos, side="right")
+        items: dict[int, set[str]] = {}
+        for m, (_, pairs) in self.by_length.items():
+            own = length == m
+            seen = np.unique(np.stack((row[own], window[own]), 1), axis=0)
+            a, b = np.searchsorted(pairs[:, 0], seen[:, 1]), np.searchsorted(pairs[:, 0], seen[:, 1], side="right")
+            for r, x, y in zip(seen[:, 0].tolist(), a.tolist(), b.tolist()):
+                items.setdefault(r, set()).update(self.items[k] for k in pairs[x:y, 1].tolist() if self.items[k] is not None)
+        return np.cumsum(hit[:-1]) > 0, items
+
+
+def read_benchmark(benchmark: DataFrame, size: int, block_bytes: int):
+    """Windows of the benchmark, block by block, each of at most ``block_bytes`` of item texts (one item at least)."""
+    ids, texts, held = [], [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        if texts and held + len(row["text"] or "") > BENCHMARK_BLOCK_BYTES // 4:
-            out.append(sc.broadcast(Windows.of(ids, texts, size)))
+        more = len((row["text"] or "").encode())
+        if texts and held + more > block_bytes:
+            yield Windows.of(ids, texts, size)
             ids, texts, held = [], [], 0
         ids.append(row["item_id"])
         texts.append(row["text"])
-        held += len(row["text"] or "")
-    return [*out, sc.broadcast(Windows.of(ids, texts, size))]
-
+        held += more
+    yield Windows.of(ids, texts, size)
+
+
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+FOUND = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("removal_spans", SPANS), ("clean_text", T.StringType())]
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _shards(column):
+    """(block, starts, ends, first, hashes) of the words of each shard of a text column."""
+    for block in blocks(column, SHARD_BYTES):
+        low = block.lowered()
+        starts, ends = low.spans(ALNUM_OR_HIGH)
+        yield block, starts, ends, low.first_of_row(starts), low.hashes(starts, ends)
+
+
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.astype(np.int8), [0]))))
+    return edge[::2], edge[1::2]
+
+
+def _described(block, starts, ends, first, inside, items, column: pa.Array) -> list[pa.Array]:
+    """The columns FOUND of a shard."""
+    total = np.concatenate(([0], np.cumsum(inside)))
+    n_hit = (total[first[1:]] - total[first[:-1]]).astype(np.int64)
+    spans: list = [[]] * block.rows
+    clean = column.cast(pa.string())
+    if n_hit.any():
+        clean = column.to_pylist()
+        for r in np.flatnonzero(n_hit).tolist():
+            a = first[r]
+            at = [(int(starts[a + x] - block.offsets[r]), int(ends[a + y - 1] - block.offsets[r])) for x, y in zip(*_runs(inside[a : first[r + 1]]))]
+            spans[r] = [{"start": x, "end": y} for x, y in at]
+            raw, left, parts = clean[r].encode(), 0, []
+            for x, y in at:
+                parts.append(raw[left:x])
+                left = y
+            clean[r] = b"".join([*parts, raw[left:]]).decode()
+        clean = pa.array(clean, pa.string())
+    digests = [hashlib.sha256(",".join(sorted(items[r])).encode()).hexdigest() if r in items else _EMPTY for r in range(block.rows)]
+    return [pa.array(np.diff(first).astype(np.int64)), pa.array(n_hit), pa.array([len(items.get(r, ())) for r in range(block.rows)], pa.int64()), pa.array(digests, pa.string()), pa.array(n_hit > 0), pa.array(spans, _SPAN_TYPE), clean]
+
+
+def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, names: dict | None = None, block_bytes: int = BENCHMARK_BLOCK_BYTES) -> DataFrame:
+    """docs' columns and FOUND (under other names by ``names``): removal_spans are merged byte spans of the text, clean_text the text without them."""
+    sc = docs.sparkSession.sparkContext
+    added = [(names or {}).get(n, n) for n, _ in FOUND]
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in added}]
+    docs = docs.select(*kept)
+    text_at = kept.index("text")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, (_, t) in zip(added, FOUND))])
+    parts = read_benchmark(benchmark, size, block_bytes)
+    windows, more = next(parts), next(parts, None)
+    if more is None:
+        sent = sc.broadcast(windows)
+
+        def run(batches):
+            for batch in batches:
+                for block, starts, ends, first, hashes in _shards(batch.column(text_at)):
+                    part = batch.slice(block.first, block.rows)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *_described(block, starts, ends, first, *sent.value.find(hashes, first), part.column(text_at))], names=[*kept, *added])
+
+        return docs.mapInArrow(run, schema)
+    row = shared.unused("row", docs)
+    docs = shared.keep(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+    hits = None
+    for windows in itertools.chain((windows, more), parts):
+        sent = sc.broadcast(windows)
+        made = shared.keep(docs.select(row, "text").mapInArrow(_hits(sent), "row long, starts array<long>, ends array<long>, items array<string>"), "decontaminate-hits")
+        sent.destroy()
+        hits = made if hits is None else hits.unionByName(made)
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    merged = hits.groupBy("row").agg(flat("starts"), flat("ends"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    joined = docs.join(merged.select(F.col("row").alias(row), F.struct("starts", "ends", "items").alias(row + "hits")), row, "left").select(*kept, row + "hits")
+
+    def finish(batches):
+        for batch in batches:
+            for block, starts, ends, first, hashes in _shards(batch.column(text_at)):
+                part = batch.slice(block.first, block.rows)
+                hit, items = np.zeros(len(hashes) + 1, np.int64), {}
+                for r, found in enumerate(part.column(len(kept)).to_pylist()):
+                    if found:
+                        np.add.at(hit, first[r] + np.array(found["starts"]), 1)
+                        np.add.at(hit, first[r] + np.array(found["ends"]), -1)
+                        items[r] = set(found["items"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *_described(block, starts, ends, first, np.cumsum(hit[:-1]) > 0, items, part.column(text_at))], names=[*kept, *added])
 
-SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-FOUND = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("removal_spans", SPAN), ("clean_text", T.StringType())]
+    return joined.mapInArrow(finish, schema)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """docs' columns, FOUND among them: removal_spans are merged byte spans of the text, clean_text the text without them."""
-    windows = read_benchmark(benchmark, size)
-    added = [n for n, _ in FOUND]
-    names = [c for c in docs.columns if c not in added]
-    docs = docs.select(*names)
-    text_at = names.index("text")
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def _hits(sent):
+    """Rows (row, text) to (row, starts, ends, items) of those with hits, in words of the row."""
 
     def run(batches):
         for batch in batches:
-            for block in blocks(batch.column(text_at), SHARD_BYTES):
-                low = block.lowered()
-                starts, ends = low.spans(ALNUM_OR_HIGH)
-                first = low.first_of_row(starts)
-                hashes = low.hashes(starts, ends)
-                hit = np.zeros(len(starts) + 1, np.int64)
-                items: dict[int, list[str]] = {}
-                for w in windows:
-                    pos, length, window = w.value.occurrences(hashes, first)
-                    np.add.at(hit, pos, 1)
-                    np.add.at(hit, pos + length, -1)
-                    row = np.searchsorted(first[1:], pos, side="right")
-                    for m, (_, pairs) in w.value.by_length.items():
-                        own = length == m
-                        seen = np.unique(np.stack((row[own], window[own]), 1), axis=0)
-                        a, b = np.searchsorted(pairs[:, 0], seen[:, 1]), np.searchsorted(pairs[:, 0], seen[:, 1], side="right")
-                        for r, x, y in zip(seen[:, 0].tolist(), a.tolist(), b.tolist()):
-                            items.setdefault(r, []).extend(pairs[x:y, 1].tolist())
-                    for r, found in items.items():
-                        items[r] = sorted({w.value.items[x] if isinstance(x, int) else x for x in found})
-                inside = np.cumsum(hit[:-1]) > 0
-                total = np.concatenate(([0], np.cumsum(inside)))
-                n_hit = total[first[1:]] - total[first[:-1]]
-                spans: list = [[]] * block.rows
-                texts = batch.column(text_at).slice(block.first, block.rows).to_pylist() if n_hit.any() else None
-                clean = texts
-                if texts is not None:
-                    clean = list(texts)
-                    for r in np.flatnonzero(n_hit).tolist():
-                        a, b = first[r], first[r + 1]
-                        m = inside[a:b]
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], m.astype(np.int8), [0]))))
-                        at = [(int(starts[a + x] - block.offsets[r]), int(ends[a + y - 1] - block.offsets[r])) for x, y in zip(edge[::2], edge[1::2])]
-                        spans[r] = [{"start": x, "end": y} for x, y in at]
-                        raw, left, parts = texts[r].encode(), 0, []
-                        for x, y in at:
-                            parts.append(raw[left:x])
-                            left = y
-                        clean[r] = b"".join([*parts, raw[left:]]).decode()
-                part = batch.slice(block.first, block.rows)
-                digests = [hashlib.sha256(",".join(items.get(r, [])).encode()).hexdigest() if r in items else _EMPTY for r in range(block.rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(np.diff(first).astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(items.get(r, ())) for r in range(block.rows)], pa.int64()), pa.array(digests, pa.string()), pa.array(n_hit > 0), pa.array(spans, span_type), part.column(text_at).cast(pa.string()) if clean is None else pa.array(clean, pa.string())],
-                    names=[*names, *added],
-                )
+            for block, _, _, first, hashes in _shards(batch.column(1)):
+                inside, items = sent.value.find(hashes, first)
+                rows, starts, ends = [], [], []
+                for r in np.unique(np.searchsorted(first[1:], np.flatnonzero(inside), side="right")).tolist():
+                    a, b = _runs(inside[first[r] : first[r + 1]])
+                    rows.append(r)
+                    starts.append(a)
+                    ends.append(b)
+                ids = batch.column(0).slice(block.first, block.rows).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array([sorted(items.get(r, ())) for r in rows], pa.list_(pa.string()))], names=["row", "starts", "ends", "items"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in FOUND)]))
+    return run
 
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -283,11 +360,12 @@ def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: benchmark passages are cut out of the texts; a document of which no word is left goes."""
-    from pyspark.sql import functions as F
-
     shared.prepare(spark)
-    found = find(docs, shared.table(spark, sf_dir, "benchmark"))
-    left = found.where("not contaminated or n_hit < n_words")
-    text = F.when(F.col("contaminated"), F.col("clean_text")).otherwise(F.col("text"))
-    size = F.when(F.col("contaminated"), F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return left.select(*(text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    own = {n: shared.unused("found_" + n, docs) for n, _ in FOUND}
+    found = find(docs, shared.table(spark, sf_dir, "benchmark"), names=own)
+    hit = F.col(own["contaminated"])
+    left = found.where(~hit | (F.col(own["n_hit"]) < F.col(own["n_words"])))
+    new = {"text": F.when(hit, F.col(own["clean_text"])).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(hit, F.length(own["clean_text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

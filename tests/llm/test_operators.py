@@ -109,26 +109,48 @@ def test_packing_of_remainders_that_never_fit_stays_bounded():
     assert covered == dict.fromkeys(range(500), 700)
 
 
-def test_decontamination_equals_brute_force(spark):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
+def test_decontamination_equals_brute_force(spark, block_bytes):
+    """One block of the benchmark, and many; null and repeated item ids, clashing columns, a very long text."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
     texts, df = corpus(spark)
+    df = df.withColumn("n_hit", F.lit("mine")).withColumn("Clean_Text", F.lit("mine"))
     rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    items = [(1, " ".join(texts[40].split()[:14])), (2, "one TWO"), (3, None), (4, ""), (5, texts[50]), (5, texts[50]), (7, "never seen here")]
+    items = [(1, " ".join(texts[40].split()[:14])), (2, "one TWO"), (3, None), (4, ""), (5, texts[50]), (5, texts[60]), (7, "never seen here"), (None, "日本語"), (10, "word " * 12)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = {}
     for i, t in items:
         w = rx.findall(lower(t or ""))
         m = min(10, len(w))
         for k in range(len(w) - m + 1) if m else ():
-            windows.setdefault(tuple(w[k : k + m]), set()).add(str(i))
-    for r in decontaminate.find(df, bench).collect():
+            windows.setdefault(tuple(w[k : k + m]), set()).update({str(i)} if i is not None else ())
+    rows = decontaminate.find(df, bench, block_bytes=block_bytes).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts))) and sum(r.contaminated for r in rows) > 5
+    for r in rows:
         w = rx.findall(lower(texts[r.doc_id] or ""))
         hit, found = [False] * len(w), set()
         for m in {len(x) for x in windows}:
             for k in range(len(w) - m + 1):
-                if x := windows.get(tuple(w[k : k + m])):
+                if (x := windows.get(tuple(w[k : k + m]))) is not None:
                     found |= x
                     hit[k : k + m] = [True] * m
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), sum(hit), len(found), any(hit))
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert r.clean_text == texts[r.doc_id] or rx.findall(lower(r.clean_text)) == [x for x, y in zip(w, hit) if not y]
+
+
+def test_decontamination_stage(spark, tmp_path):
+    bench = [(1, "alpha beta gamma"), (None, None)]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "x alpha beta gamma y", 20, "kept"), (1, "alpha beta gamma", 16, "gone"), (None, "clean", 5, "kept"), (3, None, None, "kept")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, clean_text string")
+    out = decontaminate.stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame([(1, "x  y", 4, "kept"), (None, "clean", 5, "kept"), (3, None, None, "kept")], docs.schema).collect()))
+    assert decontaminate.stage(spark, docs.where("false"), str(tmp_path)).count() == 0
 
 
 def test_fm_index_finds_all_occurrences():
@@ -140,6 +162,11 @@ def test_fm_index_finds_all_occurrences():
     for p, a, b in zip(patterns, low, high):
         want = [i for i in range(len(seq) - 2) if (seq[i : i + 3] == p).all()]
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+    copies = np.concatenate([np.tile(rng.integers(1, 9, 70), 3), [0]] * 4)  # long repeats
+    order = decontaminate.suffix_array(copies)
+    breaks = np.where(copies == 0, np.cumsum(copies == 0) - 10, copies)
+    assert order.tolist() == sorted(range(len(copies)), key=lambda i: breaks[i:].tolist())
+    assert len(index.positions) <= len(seq) // decontaminate.SAMPLE + (seq == 0).sum() + 1
 
 
 def test_jaccard_equals_brute_force(spark):
