@@ -9,7 +9,9 @@ the whole text (letters lower-cased, digits and punctuation folded).
 Cases: a null text or one without any letter is ``und`` with score 0. With no
 labelled rows every text is ``und`` with score 0; with one learned language
 every text with a letter gets it with score 1. Ties go to the language first
-in alphabetical order. Extra columns are ignored; repeated rows are scored each.
+in alphabetical order. Repeated rows are scored each. Input columns with the
+names of added ones are replaced by them (``names`` gives others); the stage
+hands on all columns as they were.
 """
 
 from __future__ import annotations
@@ -239,21 +241,21 @@ def fit(docs: DataFrame, params: Params = Params()) -> Model:
     return train([r["lang"] for r in rows], [(np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["freqs"], np.float32)) for r in rows], params)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to the columns of docs, which must hold ``text``; no shuffle."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and the score to the columns of docs, which must hold ``text``; no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # machines * 32 KiB
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*names)
-    text_at = names.index("text")
+    kept = [c for c in docs.columns if c.lower() not in names]
+    docs = docs.select(*kept)
+    text_at = kept.index("text")
 
     def run(batches):
         for batch in batches:
             for block in blocks(batch.column(text_at)):
                 lang, s = sent.value.predict(block)
                 part = batch.slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(s, pa.float64())], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(s, pa.float64())], names=[*kept, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def op1_langid(spark, sf_dir: str) -> DataFrame:
@@ -275,4 +277,5 @@ def stage(spark, docs: DataFrame, sf_dir: str, min_score: float = 0.4) -> DataFr
     if not model.langs:
         # Nothing to learn from: only what has no letter is rejected.
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+    own = tuple(shared.unused(n, docs) for n in ("lang_pred", "score"))
+    return predict(docs, model, own).where((F.col(own[0]) != "und") & (F.col(own[1]) >= min_score)).select(*docs.columns)

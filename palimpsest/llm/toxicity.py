@@ -7,12 +7,16 @@ with the class-prior-corrected, non-negative risk
     R = prior * E_P[l(+g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 
 with the logistic loss l; while the second part is negative, its gradient is
-reversed, as the method asks. The prior is the share of toxic rows among the
-labelled training rows.
+reversed, as the method asks. All hashed features of the sample are weighed
+under this risk; an L1 penalty, applied as a proximal step, leaves the weights
+of most at zero. The prior is the share of toxic rows among the labelled
+training rows.
 
 Cases: null, empty and wordless texts score sigmoid(bias). Without confirmed
-toxic rows every text scores 0. Repeated rows are scored each for itself.
-Extra columns of the inputs are ignored.
+toxic rows every text scores 0. Repeated rows are scored each for itself; a
+label without a document, a null label or a null doc_id teaches nothing. Input
+columns with the names of added ones are replaced by them (``names`` gives
+others); the stage hands on all columns as they were.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm import shared
 from palimpsest.llm.blocks import ALNUM_OR_HIGH, blocks
@@ -34,15 +39,13 @@ FEATURES = "row long, feature long"
 
 @dataclass
 class Params:
-    """max_positive, max_unlabelled: bounds of the training sample, in rows. max_features: bound of the model."""
+    """max_positive, max_unlabelled: bounds of the training sample, in rows. penalty: of the L1 norm."""
 
     max_positive: int = 1500
     max_unlabelled: int = 3000
-    max_features: int = 1024
-    min_z: float = 7.0
-    rounds: int = 200
-    rate: float = 0.3
-    l2: float = 1e-5
+    rounds: int = 300
+    rate: float = 0.05
+    penalty: float = 3e-4
 
 
 def _features(block, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -100,45 +103,38 @@ class Model:
         return shared.sigmoid(g)
 
 
+def risk_gradient(g: np.ndarray, n_p: int, prior: float) -> tuple[np.ndarray, bool]:
+    """Gradient of the risk by the outputs g, the first n_p of which are of positive examples; and whether it is the reversed one."""
+    s, n_u = shared.sigmoid(g), len(g) - n_p
+    negative = np.mean(np.logaddexp(0, g[n_p:])) - prior * np.mean(np.logaddexp(0, g[:n_p]))
+    # d l(+g)/dg = s - 1; d l(-g)/dg = s
+    of_negative = np.concatenate((-prior * s[:n_p] / n_p, s[n_p:] / n_u))
+    if negative < 0:
+        return -of_negative, True
+    of_negative[:n_p] += prior * (s[:n_p] - 1) / n_p
+    return of_negative, False
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, p: Params) -> Model:
     """positive, unlabelled: the distinct features of each text."""
     n_p, n_u = len(positive), len(unlabelled)
     if not n_p or not n_u or not 0 < prior < 1:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 60.0 if n_p and prior >= 1 else -60.0)
-    flat = np.concatenate([*positive, *unlabelled])
     doc = np.repeat(np.arange(n_p + n_u), [len(x) for x in (*positive, *unlabelled)])
-    keys, inverse = np.unique(flat, return_inverse=True)
-    in_p = np.bincount(inverse, weights=doc < n_p, minlength=len(keys))
-    in_u = np.bincount(inverse, weights=doc >= n_p, minlength=len(keys))
-    rate = (in_p + in_u + 1) / (n_p + n_u + 2)
-    z = (in_p / n_p - in_u / n_u) / np.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n_u))
-    # A feature counts as evidence for toxicity only if it stands out far beyond chance.
-    chosen = np.flatnonzero(z >= p.min_z)
-    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")][: p.max_features])
-    place = np.full(len(keys), -1)
-    place[chosen] = np.arange(len(chosen))
-    col = place[inverse]
-    x = np.zeros((n_p + n_u, len(chosen)), np.float32)
-    x[doc[col >= 0], col[col >= 0]] = 1
-    xp, xu = x[:n_p], x[n_p:]
-    w, b = np.zeros(len(chosen), np.float32), 0.0
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    keys, col = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
+    w, b = np.zeros(len(keys)), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for t in range(1, p.rounds + 1):
-        gp, gu = xp @ w + b, xu @ w + b
-        sp, su = shared.sigmoid(gp), shared.sigmoid(gu)
-        negative = np.mean(np.logaddexp(0, gu)) - prior * np.mean(np.logaddexp(0, gp))
-        # d l(+g)/dg = s - 1; d l(-g)/dg = s
-        dp_plus, dp_minus, du = prior * (sp - 1) / n_p, prior * sp / n_p, su / n_u
-        if negative < 0:
-            cp, cu = dp_minus, -du
-        else:
-            cp, cu = dp_plus - dp_minus, du
-        g = np.append(xp.T @ cp.astype(np.float32) + xu.T @ cu.astype(np.float32) + p.l2 * w, cp.sum() + cu.sum())
+        by_doc, _ = risk_gradient(np.bincount(doc, w[col], n_p + n_u) + b, n_p, prior)
+        g = np.append(np.bincount(col, by_doc[doc], len(keys)), by_doc.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = p.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-12)
-        w -= step[:-1].astype(np.float32)
+        size = p.rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
+        step = size * m / (1 - 0.9**t)
+        w -= step[:-1]
         b -= float(step[-1])
-    return Model(keys[chosen], w.astype(float), b)
+        w = np.sign(w) * np.maximum(np.abs(w) - size[:-1] * p.penalty, 0.0)
+    left = np.flatnonzero(w)
+    return Model(keys[left], w[left], b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
@@ -150,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     share = by_doc.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("prior")).first()["prior"] or 0.0
     text = docs.select("doc_id", "text").where("text is not null")
     pos_ids = shared.hash_sample(by_doc.where("toxic = 1").select("doc_id"), "doc_id", params.max_positive)
-    pos = text.join(pos_ids, "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
+    pos = text.join(F.broadcast(pos_ids), "doc_id", "left_semi")  # ids bounded by max_positive
+    pos = pos.select(F.lit(True).alias("positive"), "text")
     unl = shared.hash_sample(text, "doc_id", params.max_unlabelled).select(F.lit(False).alias("positive"), "text")
     rows = pos.unionByName(unl).mapInArrow(_feature_rows, "positive boolean, features binary").collect()
     # Copies of one text are one example, or each word of a much-copied toxic text would look toxic.
@@ -158,24 +155,21 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     return train(get(True), get(False), float(share), params)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``score`` and ``predicted`` to the columns of docs, which must hold ``text``; no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features weights
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*names)
-    text_at = names.index("text")
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Adds the score and the prediction to the columns of docs, which must hold ``text``; no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # weights that are not zero, of a bounded sample
+    kept = [c for c in docs.columns if c.lower() not in names]
+    docs = docs.select(*kept)
+    text_at = kept.index("text")
 
     def run(batches):
         for batch in batches:
             for block in blocks(batch.column(text_at)):
                 s = sent.value.scores(block)
                 part = batch.slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
-
-    from pyspark.sql import types as T
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*kept, *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -191,4 +185,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     shared.prepare(spark)
     labels = shared.table(spark, sf_dir, "labels")
     model = fit(docs.where(shared.crc_fold("doc_id", 5) != 0), labels.where(shared.crc_fold("doc_id", 5) != 0))
-    return score(docs, model).where("predicted = 0").select(*docs.columns)
+    own = tuple(shared.unused(n, docs) for n in ("score", "predicted"))
+    return score(docs, model, own).where(F.col(own[1]) == 0).select(*docs.columns)

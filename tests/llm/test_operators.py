@@ -387,7 +387,7 @@ def test_classifiers_on_odd_rows_and_held_out(spark):
         rows.append((i, " ".join(w), "fr" if i % 2 else "en", i % 5 == 0))
     docs = spark.createDataFrame([(i, t, l) for i, t, l, _ in rows] + [(1000 + k, t, None) for k, t in enumerate(ODD)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(x)) for i, _, _, x in rows if i < 300], "doc_id long, toxic int")
-    model = toxicity.fit(docs.where("doc_id < 300"), labels, toxicity.Params(min_z=4.0))
+    model = toxicity.fit(docs.where("doc_id < 300"), labels)
     tox = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
     assert all(tox[i] == int(x) for i, _, _, x in rows) and len(tox) == 400 + len(ODD)
     lang = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.fit(docs.where("doc_id < 300"))).collect()}
@@ -395,6 +395,56 @@ def test_classifiers_on_odd_rows_and_held_out(spark):
     assert [lang[1000 + k][0] for k in range(4)] == ["und"] * 4
 
 
+def test_risk_gradient_is_that_of_the_risk_and_reversed_below_zero():
+    rng = np.random.default_rng(2)
+    for shift, reversed_ in ((0.0, False), (-6.0, True)):
+        g, prior, n_p = rng.normal(size=30), 0.3, 10
+        g[10:] += shift
+        g[:10] -= shift
+        loss = lambda x: np.logaddexp(0, -x)
+
+        def risk(x):
+            positive, negative = prior * loss(x[:n_p]).mean(), loss(-x[n_p:]).mean() - prior * loss(-x[:n_p]).mean()
+            return -negative if negative < 0 else positive + negative
+
+        got, back = toxicity.risk_gradient(g, n_p, prior)
+        assert back == reversed_
+        eye = np.eye(30) * 1e-6
+        assert np.allclose(got, [(risk(g + e) - risk(g - e)) / 2e-6 for e in eye], atol=1e-6)
+
+
+def test_toxicity_edge_cases(spark, tmp_path):
+    bad = [(i, "vile brute text %d" % i, 42.0, "p") for i in range(40)]
+    good = [(100 + i, "kind tree river %d" % i, 42.0, "p") for i in range(120)]
+    docs = spark.createDataFrame(bad + good + [(None, "vile brute", 42.0, "p"), (7, None, 42.0, "p"), (7, "", 42.0, "p")], "doc_id long, text string, Score double, predicted string")
+    labels = [(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(120)] + [(None, 1), (99999, 1), (1, None)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = toxicity.stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and {(r.doc_id, r.text) for r in out.collect()} == {(r[0], r[1]) for r in good} | {(7, None), (7, "")}
+    assert {(r.Score, r.predicted) for r in out.collect()} == {(42.0, "p")}
+    assert toxicity.stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    nothing = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {r.score for r in toxicity.score(docs, nothing).collect()} == {pytest.approx(0, abs=1e-9)}
+    assert toxicity.score(docs, nothing).columns == ["doc_id", "text", "score", "predicted"]
+
+
+def test_pairwise_machines_separate_languages_of_one_family(spark):
+    rng = random.Random(3)
+    words = {"es": "que los una para con esta pero ciudad hombre año niña calle".split(), "pt": "que os uma para com esta mas cidade homem ano menina rua não".split(), "it": "che gli una per con questa ma città uomo anno bambina strada".split(), "en": "the of and that with this but city man year girl street".split()}
+    langs = sorted(words)
+    rows = [(i, " ".join(rng.choices(words[langs[i % 4]], k=25)), langs[i % 4]) for i in range(400)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, LANG_PRED string, score string")
+    model = langid.fit(docs.where("doc_id < 280"))
+    assert [m for m in model.machines if m[0] == "pair"] == [("pair", "es", "it"), ("pair", "es", "pt"), ("pair", "it", "pt")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    assert all(got[i][0] == x and 0 <= got[i][1] <= 1 for i, _, x in rows if i >= 280)
+    kept = langid.stage(spark, docs, "")
+    assert kept.columns == docs.columns and {(r.LANG_PRED, r.score) for r in kept.collect()} == {("x", "y")}
+    one = langid.fit(docs.where("lang = 'es'"))
+    assert {(r.lang_pred, r.score) for r in langid.predict(docs, one).collect()} == {("es", 1.0)}
+    assert {(r.lang_pred, r.score) for r in langid.predict(docs, langid.fit(docs.where("false"))).collect()} == {("und", 0.0)}
+
+
 def test_language_stage_rejects_unrecognised_texts_only(spark):
     rng = random.Random(4)
     words = {"en": ["the%d" % i for i in range(30)], "fr": ["été%d" % i for i in range(30)]}
