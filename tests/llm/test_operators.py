@@ -416,11 +416,11 @@ def test_risk_gradient_is_that_of_the_risk_and_reversed_below_zero():
 def test_toxicity_edge_cases(spark, tmp_path):
     bad = [(i, "vile brute text %d" % i, 42.0, "p") for i in range(40)]
     good = [(100 + i, "kind tree river %d" % i, 42.0, "p") for i in range(120)]
-    docs = spark.createDataFrame(bad + good + [(None, "vile brute", 42.0, "p"), (7, None, 42.0, "p"), (7, "", 42.0, "p")], "doc_id long, text string, Score double, predicted string")
+    docs = spark.createDataFrame(bad + good + [(None, "vile brute", 42.0, "p"), (900, None, 42.0, "p"), (900, "", 42.0, "p")], "doc_id long, text string, Score double, predicted string")
     labels = [(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(120)] + [(None, 1), (99999, 1), (1, None)]
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = toxicity.stage(spark, docs, str(tmp_path))
-    assert out.columns == docs.columns and {(r.doc_id, r.text) for r in out.collect()} == {(r[0], r[1]) for r in good} | {(7, None), (7, "")}
+    assert out.columns == docs.columns and {(r.doc_id, r.text) for r in out.collect()} == {(r[0], r[1]) for r in good} | {(900, None), (900, "")}
     assert {(r.Score, r.predicted) for r in out.collect()} == {(42.0, "p")}
     assert toxicity.stage(spark, docs.where("false"), str(tmp_path)).count() == 0
     nothing = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
