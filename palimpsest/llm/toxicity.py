@@ -10,9 +10,10 @@ with the logistic loss l; while the second part is negative, its gradient is
 reversed, as the method asks. All hashed features of the sample are weighed
 under this risk; an L1 penalty, applied as a proximal step, leaves the weights
 of most at zero. The prior is the share of toxic rows among the labelled
-training rows.
+training rows; the bias is that of the prior, so a text without any feature of
+weight scores the prior.
 
-Cases: null, empty and wordless texts score sigmoid(bias). Without confirmed
+Cases: null, empty and wordless texts score the prior. Without confirmed
 toxic rows every text scores 0. Repeated rows are scored each for itself; a
 label without a document, a null label or a null doc_id teaches nothing. Input
 columns with the names of added ones are replaced by them (``names`` gives
@@ -43,7 +44,7 @@ class Params:
 
     max_positive: int = 1500
     max_unlabelled: int = 3000
-    rounds: int = 300
+    rounds: int = 200
     rate: float = 0.05
     penalty: float = 3e-4
 
@@ -123,16 +124,14 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     doc = np.repeat(np.arange(n_p + n_u), [len(x) for x in (*positive, *unlabelled)])
     keys, col = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
     w, b = np.zeros(len(keys)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
+    m, v = np.zeros(len(keys)), np.zeros(len(keys))
     for t in range(1, p.rounds + 1):
         by_doc, _ = risk_gradient(np.bincount(doc, w[col], n_p + n_u) + b, n_p, prior)
-        g = np.append(np.bincount(col, by_doc[doc], len(keys)), by_doc.sum())
+        g = np.bincount(col, by_doc[doc], len(keys))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         size = p.rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
-        step = size * m / (1 - 0.9**t)
-        w -= step[:-1]
-        b -= float(step[-1])
-        w = np.sign(w) * np.maximum(np.abs(w) - size[:-1] * p.penalty, 0.0)
+        w -= size * m / (1 - 0.9**t)
+        w = np.sign(w) * np.maximum(np.abs(w) - size * p.penalty, 0.0)
     left = np.flatnonzero(w)
     return Model(keys[left], w[left], b)
 
