@@ -5,13 +5,16 @@ canonical URL (an as-of join); if its validators agree with that response's,
 it takes over the body, and the headers that a 304 answer may carry replace
 the stored ones. The as-of join runs in two levels, inside time buckets of a
 URL and over one row for each bucket, so that a URL with very many captures is
-spread over its buckets.
+spread over its buckets; bodies go to the revisits of a response by parts.
 
 Cases: a null URL, or one without an earlier response, is ``orphan``; a
 revisit whose validators disagree (or that has none) is ``mismatch`` and takes
 nothing over. Responses at the very time of the revisit are not earlier; among
-responses of one time the largest id is the latest. Repeated revisits are
-resolved each for itself; a repeated response counts once. Other columns of the inputs are ignored.
+responses of one time the largest id is the latest. Each revisit row is resolved
+for itself, whatever its id. Of several responses of one id the latest counts
+(ties: the greatest url, validators, headers and body); a response without id
+can stand for nothing. Other columns of the inputs are ignored. Empty tables:
+all revisits are orphans, or there are no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from palimpsest.llm import shared
 
 #: Headers that a 304 answer may carry and that then replace the stored ones.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-BUCKET_SECONDS = 7 * 86400
+BUCKET_SECONDS = 3600
+#: Parts into which the revisits of a response are dealt.
+SALTS = 32
 
 
 def canonical_url(url: Column) -> Column:
@@ -68,13 +73,17 @@ def merge_headers(stored: Column, fresh: Column) -> Column:
 def resolve(revisits: DataFrame, responses: DataFrame) -> DataFrame:
     """revisits and responses (id, url, t, etag, last_modified, headers map), responses also body: a row for each
     revisit with canonical, response_id, status, headers and body."""
-    responses = responses.dropDuplicates(["id"])
+    columns = ["url", "t", "etag", "last_modified", "headers", "body"]
+    rank = F.struct("t", "url", "etag", "last_modified", header_text(F.col("headers")), "body")
+    one = responses.where("id is not null").groupBy("id").agg(F.max_by(F.struct(*columns), rank).alias("_one"))
+    responses = one.select("id", *[F.col(f"_one.{c}").alias(c) for c in columns])
     found = as_of(revisits.select("id", "url", "t", "etag", "last_modified", "headers"), responses.select("id", "url", "t", "etag", "last_modified"))
     same = F.when(F.col("etag").isNotNull(), F.col("etag") == F.col("found.etag")).otherwise(F.coalesce(F.col("last_modified") == F.col("found.last_modified"), F.lit(False)))
     status = F.when(F.col("found").isNull(), "orphan").when(F.coalesce(same, F.lit(False)), "resolved").otherwise("mismatch")
     found = found.select("id", "canonical", F.col("found.id").alias("response_id"), status.alias("status"), F.col("headers").alias("fresh"))
     body = responses.select(F.col("id").alias("response_id"), F.col("headers").alias("stored"), "body")
-    out = found.join(body, "response_id", "left")
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("id", "canonical"), F.lit(SALTS)))
+    out = salted.join(salted.select("response_id", "salt").distinct().join(body, "response_id"), ["response_id", "salt"], "left")
     taken = F.col("status") == "resolved"
     return out.select("id", "canonical", "response_id", "status", F.when(taken, merge_headers(F.col("stored"), F.col("fresh"))).otherwise(F.col("fresh")).alias("headers"), F.when(taken, F.col("body")).alias("body"))
 
@@ -83,6 +92,19 @@ def header_text(headers: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
 
 
+def from_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(revisits, responses) of a column ``record``: WARC records with their HTTP messages, as text. Other records are left out."""
+    cut = lambda c, k: F.when(F.instr(c, "\r\n\r\n") > 0, F.substr(c, F.instr(c, "\r\n\r\n") + 4)).otherwise(F.lit("")) if k else F.substring_index(c, "\r\n\r\n", 1)
+    pairs = lambda c: F.filter(F.transform(F.split(c, "\r\n"), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("v"), F.instr(x, ":").alias("at"))), lambda x: x["at"] > 1)
+    # Of a repeated header the last one counts.
+    last = lambda a: F.map_from_entries(F.transform(F.filter(a, lambda x, i: ~F.exists(F.slice(a, i + 2, F.size(a)), lambda y: y["k"] == x["k"])), lambda x: F.struct(x["k"], x["v"])))
+    parts = records.where("record like 'WARC/%'").select(cut(F.col("record"), 0).alias("head"), cut(F.col("record"), 1).alias("message"))
+    parts = parts.select(last(pairs(F.col("head"))).alias("w"), last(pairs(cut(F.col("message"), 0))).alias("headers"), cut(F.col("message"), 1).alias("body"))
+    t = F.unix_timestamp(F.try_to_timestamp(F.col("w")["warc-date"]))
+    named = parts.select(F.lower(F.col("w")["warc-type"]).alias("kind"), F.col("w")["warc-record-id"].alias("id"), F.col("w")["warc-target-uri"].alias("url"), t.alias("t"), F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("last_modified"), "headers", "body")
+    return named.where("kind = 'revisit'").drop("kind", "body"), named.where("kind = 'response'").drop("kind")
+
+
 def captures(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A crawl made of ``pages``: page k is a full response of hour k, and 30 days later its URL is asked for again with
     its validators and answered with 304. In between, another page of the same canonical URL may have been stored."""
