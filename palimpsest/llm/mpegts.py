@@ -8,7 +8,9 @@ stream that carries a byte payload, one PES packet for each access unit.
 
 Cases: a null or empty text is a payload of spaces alone. Streams that are cut
 short, lose packets or have broken tables are parsed as far as they go, and the
-faults are counted; nothing raises.
+faults are counted; nothing raises. A null stream has no packets. Each row, of
+whatever key, is stored for itself; a column ``media`` of the input is replaced.
+Memory: one text and its stream.
 """
 
 from __future__ import annotations
@@ -238,12 +240,12 @@ def pad(text: bytes) -> bytes:
     return text.ljust(max(GRAIN, -(-len(text) // GRAIN) * GRAIN), b" ")
 
 
-COLUMNS = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
+COLUMNS = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("pts", T.ArrayType(T.LongType())), ("random_access", T.ArrayType(T.LongType()))]
 
 
 def to_media(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) with a binary column ``media``: each text as a transport stream."""
-    names = [c for c in docs.columns if c != "media"]
+    names = [c for c in docs.columns if c.lower() != "media"]
     docs = docs.select(*names)
     text_at = names.index("text")
 
@@ -271,7 +273,9 @@ def elementary_packets(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id and COLUMNS: each text is stored as a stream, read back, and described."""
+    """doc_id and COLUMNS: each text is stored as a stream, read back, and described; pts: the timestamps of its elementary
+    packets, random_access: those of the ones where reading may begin."""
+    kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.ArrayType(T.LongType()): pa.list_(pa.int64())}
 
     def run(batches):
         for batch in batches:
@@ -281,9 +285,9 @@ def digest(docs: DataFrame) -> DataFrame:
                     media = mux(pad(text))
                     stream = demux(media)
                     back = stream.payload()
-                    rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]) & 0xFFFFFFFF, len(media), hashlib.sha256(media).hexdigest(), feature(stream, back)))
+                    rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]) & 0xFFFFFFFF, len(media), hashlib.sha256(media).hexdigest(), feature(stream, back), [p[1] for p in stream.packets], [p[1] for p in stream.packets if p[2]]))
                 columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), *(pa.array(c, pa.string() if t == T.StringType() else pa.int64()) for c, (_, t) in zip(columns, COLUMNS))], names=["doc_id", *(n for n, _ in COLUMNS)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), *(pa.array(c, kinds[t]) for c, (_, t) in zip(columns, COLUMNS))], names=["doc_id", *(n for n, _ in COLUMNS)])
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, t) for n, t in COLUMNS)]))
 
