@@ -129,7 +129,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         by_doc, _ = risk_gradient(np.bincount(doc, w[col], n_p + n_u) + b, n_p, prior)
         g = np.bincount(col, by_doc[doc], len(keys))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        size = p.rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
+        size = p.rate * (1 - (t - 1) / p.rounds) / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
         w -= size * m / (1 - 0.9**t)
         w = np.sign(w) * np.maximum(np.abs(w) - size * p.penalty, 0.0)
     left = np.flatnonzero(w)

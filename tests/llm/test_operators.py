@@ -343,20 +343,52 @@ def test_lattice_scores_equal_brute_force(spark):
     assert len(untrained) == len(rows) and all(r.score < 0 and r.n_known == 0 and r.train_tokens == 0 for r in untrained)
 
 
-def test_shards_are_exact(spark):
-    texts, df = corpus(spark)
+def test_shards_are_exact_and_uniform(spark):
     from pyspark.sql import functions as F
 
-    slim = df.select("doc_id", F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("text_crc32"))
-    rows = sharding.shard_rows(slim, "doc_id", 16, rows_each=50).collect()
-    by = {}
-    for r in rows:
+    rows = [(None if i % 3 == 0 else i, i, 0, "x") for i in range(4000)]  # a third of the rows have one key
+    df = spark.createDataFrame(rows, "doc_id long, n long, SHARD int, row string").repartitionByRange(7, "n")
+    out = sharding.shard_rows(df, 16, rows_each=50)
+    assert out.columns == ["doc_id", "n", "row", "shard", "slot"]
+    got = out.collect()
+    by, where = {}, {}
+    for r in got:
         by.setdefault(r.shard, []).append(r.slot)
-    assert len({r.doc_id for r in rows}) == len(texts)
-    assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+        where[r.n] = (r.shard, r.slot)
+    assert sorted(where) == list(range(4000))
+    assert all(sorted(s) == list(range(250)) for s in by.values()) and len(by) == 16
+    for part in ([i for i in where if i % 3 == 0], range(500), range(3500, 4000)):
+        counts = np.bincount([where[i][0] for i in part], minlength=16)
+        assert ((counts - len(part) / 16) ** 2 / (len(part) / 16)).sum() < 45  # chi-square, 15 degrees of freedom
+    slots = np.array([where[i][1] for i in range(4000)])
+    assert abs(np.corrcoef(slots, np.arange(4000))[0, 1]) < 0.08
+    assert sharding.shard_rows(df.where("false"), 16).count() == 0
+    few = {(r.shard, r.slot) for r in sharding.shard_rows(df.where("n < 3"), 16).collect()}
+    assert len(few) == 3 and {s for _, s in few} == {0}
+
+
+def test_shard_query_handles_nulls_and_repeats(spark, tmp_path):
+    rows = [(i % 5 or None, t) for i, t in enumerate(ODD)] * 2
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op7_sharding(spark, str(tmp_path)).collect()
+    want = sorted((d or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert sorted((r.doc_id or 0, r.size, r.text_crc32) for r in got) == want
+    assert {r.grown_shard for r in got} == {None} and {r.law for r in got} == {"rows"}
+
+
+def test_hypergeometric_draws_follow_the_law():
+    import math
+
     line = sharding.matrix([30, 0, 70], [40, 60], 1)
     assert [sum(x) for x in line] == [30, 0, 70] and [sum(x) for x in zip(*line)] == [40, 60]
+    rng, good, bad, draws = random.Random(5), 13, 20, 12
+    seen = np.bincount([sharding.hypergeometric(rng, good, bad, draws) for _ in range(20_000)], minlength=13)
+    pmf = np.array([math.comb(good, k) * math.comb(bad, draws - k) for k in range(13)]) / math.comb(good + bad, draws)
+    at = pmf > 1e-3
+    assert ((seen[at] - 20_000 * pmf[at]) ** 2 / (20_000 * pmf[at])).sum() < 35
+    big = [sharding.hypergeometric(rng, 10**9, 15 * 10**9, 10**6) for _ in range(300)]
+    sd = math.sqrt(10**6 / 16 * 15 / 16)
+    assert abs(np.mean(big) - 62_500) < 5 * sd / math.sqrt(300) and 0.85 < np.std(big) / sd < 1.15
 
 
 def test_transport_stream_round_trip_and_faults():
@@ -369,13 +401,122 @@ def test_transport_stream_round_trip_and_faults():
     assert mpegts.demux(b"").n_packets == 0 and mpegts.demux(b"abc").sync_errors == 1
 
 
+def packets_of(stream):
+    """A plain reader of transport streams, a packet at a time: PES packets of each PID as (pts, random access, payload)."""
+
+    def crc(data):
+        c = 0xFFFFFFFF
+        for byte in data:
+            for k in range(7, -1, -1):
+                c = (c << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if (c >> 31) ^ (byte >> k & 1) else 0)
+        return c
+
+    tables, pes, counters = {}, {}, {}
+    assert len(stream) % 188 == 0
+    for at in range(0, len(stream), 188):
+        p = stream[at : at + 188]
+        assert p[0] == 0x47 and not p[1] & 0x80
+        pid, start, control, counter = (p[1] & 0x1F) << 8 | p[2], bool(p[1] & 0x40), p[3] >> 4 & 3, p[3] & 15
+        body, random_access = p[4:], False
+        if control & 2:
+            body, flags = p[5 + p[4] :], p[5] if p[4] else 0
+            random_access = bool(flags & 0x40)
+            if flags & 0x10:
+                assert p[4] >= 7
+        if pid in (0, 0x1000):
+            section = body[1 + body[0] :]
+            n = 3 + ((section[1] & 15) << 8 | section[2])
+            assert crc(section[:n]) == 0
+            tables[pid] = section[:n]
+            continue
+        assert counter == counters.get(pid, -1) + 1 & 15
+        counters[pid] = counter
+        if start:
+            pes.setdefault(pid, []).append([random_access, b""])
+        pes[pid][-1][1] += body
+    assert (tables[0][8] << 8 | tables[0][9], (tables[0][10] & 0x1F) << 8 | tables[0][11]) == (1, 0x1000)
+    (pid,) = pes
+    assert tables[0x1000][12] == 6 and (tables[0x1000][13] & 0x1F) << 8 | tables[0x1000][14] == pid
+    out = []
+    for rap, data in pes[pid]:
+        assert data[:3] == b"\0\0\1" and data[4] << 8 | data[5] == len(data) - 6
+        t = data[9:14]
+        assert t[0] >> 4 == 2 and t[0] & t[2] & t[4] & 1
+        out.append(((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1, rap, data[9 + data[8] :]))
+    return out
+
+
+def test_streams_equal_a_plain_reader(spark):
+    import hashlib
+
+    texts = ODD + ["z" * 3071, "y" * 3072, "x" * 200_001, "é" * 9000]
+    df = spark.createDataFrame([(i % 7 or None, t, "m") for i, t in enumerate(texts)], "doc_id long, text string, MEDIA string").coalesce(2)
+    media = mpegts.to_media(df)
+    assert media.columns == ["doc_id", "text", "media"]
+    stored = {r.text: bytes(r.media) for r in media.collect()}
+    by_text = {}
+    for r in mpegts.elementary_packets(media, "text").collect():
+        by_text.setdefault(r.text, []).append((r.pts, r.random_access, bytes(r.payload)))
+    for r in mpegts.digest(df).collect():
+        pass
+    digests = {}
+    for row, r in zip(df.collect(), mpegts.digest(df).collect()):
+        assert row.doc_id == r.doc_id
+        digests[row.text] = r
+    for t in texts:
+        want = packets_of(stored[t])
+        payload = b"".join(p for *_, p in want)
+        raw = (t or "").encode()
+        assert payload.rstrip(b" ") == raw.rstrip(b" ") and len(payload) == max(192, -(-len(raw) // 192) * 192)
+        assert by_text[t] == want
+        r = digests[t]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored[t]), hashlib.sha256(stored[t]).hexdigest())
+        assert r.pts == [p for p, *_ in want] and r.random_access == [p for p, rap, _ in want if rap]
+
+
 def test_revisits(spark):
     c = "id long, url string, t long, etag string, last_modified string, headers map<string,string>"
-    responses = spark.createDataFrame([(1, "http://www.A.org/x/", 10, "e1", None, {"etag": "e1", "server": "s"}, "one"), (2, "https://a.org/x#f", 20_000_000, "e2", None, {}, "two")], c + ", body string")
-    revisits = spark.createDataFrame([(5, "https://a.org/x?utm_source=q", 1_000_000, "e1", None, {"etag": "e1", "server": "no"}), (6, "https://a.org/x", 30_000_000, "e1", None, {}), (7, "https://a.org/x", 10, "e1", None, {}), (8, None, 99, "e1", None, None), (9, "https://a.org/x", 20_000_001, None, None, {})], c)
-    got = {r.id: (r.response_id, r.status, r.body, r.headers) for r in warc.resolve(revisits, responses).collect()}
-    assert got[5] == (1, "resolved", "one", {"server": "s", "etag": "e1"})
+    responses = spark.createDataFrame([(1, "http://www.A.org/x/", 10, "e1", None, {"etag": "e1", "server": "s"}, "one"), (2, "https://a.org/x#f", 20_000_000, "e2", None, {}, "two"), (2, "https://a.org/x", 19_000_000, "e0", None, {}, "differs"), (None, "https://a.org/x", 25_000_000, "e1", None, {}, "unnamed")], c + ", body string")
+    revisits = spark.createDataFrame([(5, "https://a.org/x?utm_source=q", 1_000_000, "e1", None, {"etag": "e1", "server": "no"}), (6, "https://a.org/x", 30_000_000, "e1", None, {}), (7, "https://a.org/x", 10, "e1", None, {}), (8, None, 99, "e1", None, None), (9, "https://a.org/x", 20_000_001, None, None, {}), (9, "https://a.org/x", 20_000_001, None, None, {}), (None, "https://a.org/x", 11, "e1", None, None)], c)
+    rows = warc.resolve(revisits, responses).collect()
+    got = {r.id: (r.response_id, r.status, r.body, r.headers) for r in rows}
+    assert len(rows) == 7 and sum(r.id == 9 for r in rows) == 2
+    assert got[5] == (1, "resolved", "one", {"server": "s", "etag": "e1"}) and got[None][:3] == (1, "resolved", "one")
     assert [got[i][:3] for i in (6, 7, 8, 9)] == [(2, "mismatch", None), (None, "orphan", None), (None, "orphan", None), (2, "mismatch", None)]
+    empty, none = responses.where("false"), revisits.where("false")
+    assert {r.status for r in warc.resolve(revisits, empty).collect()} == {"orphan"} and warc.resolve(none, responses).count() == 0
+
+
+def test_revisits_equal_brute_force(spark):
+    """Many captures of one URL, ties in time, by trying every response."""
+    rng = random.Random(9)
+    c = "id long, url string, t long, etag string, last_modified string, headers map<string,string>"
+    urls = ["https://hot.org/"] * 6 + ["https://b.org/p", "https://c.org/?q=1"]
+    responses = [(i, rng.choice(urls), rng.randrange(40) * 1800, rng.choice("ab"), "m" + rng.choice("xy"), {}, "body %d" % i) for i in range(200)]
+    revisits = [(1000 + i, rng.choice(urls), rng.randrange(40) * 1800, rng.choice(["a", "b", None]), rng.choice(["mx", None]), {}) for i in range(300)]
+    got = {r.id: (r.response_id, r.status, r.body) for r in warc.resolve(spark.createDataFrame(revisits, c), spark.createDataFrame(responses, c + ", body string")).collect()}
+    for i, url, t, etag, modified, _ in revisits:
+        before = [r for r in responses if r[1] == url and r[2] < t]
+        if not before:
+            assert got[i] == (None, "orphan", None)
+            continue
+        r = max(before, key=lambda r: (r[2], r[0]))
+        same = r[3] == etag if etag else r[4] == modified
+        assert got[i] == ((r[0], "resolved", r[6]) if same else (r[0], "mismatch", None))
+
+
+def test_records_are_read(spark):
+    head = "WARC/1.1\r\nWARC-Type: %s\r\nWARC-Target-URI: http://a.org/x\r\nWARC-Date: %s\r\nWARC-Record-ID: <urn:uuid:%s>\r\n\r\n"
+    full = head % ("response", "2024-01-01T00:00:10Z", "r1") + "HTTP/1.1 200 OK\r\nETag: \"e\"\r\nLast-Modified: Mon\r\nServer: s: t\r\n\r\nbody\r\n\r\nmore"
+    again = head % ("revisit", "2024-02-01T00:00:00Z", "r2") + "HTTP/1.1 304 Not Modified\r\nETag: \"e\"\r\nDate: now\r\n\r\n"
+    rows = [(full,), (again,), (None,), ("",), ("no record",), (head % ("request", "x", "r3"),)]
+    revisits, responses = warc.from_records(spark.createDataFrame(rows, "record string"))
+    (r,) = responses.collect()
+    assert (r.id, r.url, r.t, r.etag, r.last_modified, r.body) == ("<urn:uuid:r1>", "http://a.org/x", 1704067210, '"e"', "Mon", "body\r\n\r\nmore")
+    assert r.headers == {"etag": '"e"', "last-modified": "Mon", "server": "s: t"}
+    (x,) = warc.resolve(revisits, responses).collect()
+    assert (x.id, x.status, x.body, x.headers["date"]) == ("<urn:uuid:r2>", "resolved", r.body, "now")
 
 
 def test_classifiers_on_odd_rows_and_held_out(spark):
@@ -424,7 +565,7 @@ def test_toxicity_edge_cases(spark, tmp_path):
     assert {(r.Score, r.predicted) for r in out.collect()} == {(42.0, "p")}
     assert toxicity.stage(spark, docs.where("false"), str(tmp_path)).count() == 0
     nothing = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert {r.score for r in toxicity.score(docs, nothing).collect()} == {pytest.approx(0, abs=1e-9)}
+    assert all(abs(r.score) < 1e-9 and r.predicted == 0 for r in toxicity.score(docs, nothing).collect())
     assert toxicity.score(docs, nothing).columns == ["doc_id", "text", "score", "predicted"]
 
 
