@@ -135,6 +135,17 @@ class Block:
         return h
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold ``limit`` bytes or end."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, (None,)):
+        if batch is not None:
+            held.append(batch)
+        if held and (batch is None or sum(b.nbytes for b in held) >= limit):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+
+
 def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cuts a string column into blocks of whole rows."""
     if isinstance(column, pa.ChunkedArray):
@@ -167,8 +178,8 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class SpanCache:
     """Remembers what a function gives for distinct byte spans, which are told apart by their bytes.
 
-    The function maps a list of byte strings to a list of int arrays. When the
-    cache would grow beyond ``limit`` spans it starts afresh, which costs time
+    The function maps a list of byte strings to (how many values each has, all
+    values). When the cache would grow beyond ``limit`` spans it starts afresh, which costs time
     only. Spans of more than ``LONG_SPAN`` bytes are not remembered.
     """
 
@@ -194,12 +205,11 @@ class SpanCache:
         new = np.flatnonzero(slot < 0).tolist()
         begin, size, values = self.begin, self.size, self.values
         if new:
-            got = self.function([distinct[i] for i in new])
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            sizes, got = self.function([distinct[i] for i in new])
             slot[new] = np.arange(len(begin), len(begin) + len(new))
             begin = np.concatenate((begin, len(values) + np.cumsum(sizes) - sizes))
             size = np.concatenate((size, sizes))
-            values = np.concatenate((values, np.fromiter(itertools.chain.from_iterable(got), np.int32, int(sizes.sum()))))
+            values = np.concatenate((values, got))
             self.slots.update((distinct[i], k) for i, k in zip(new, slot[new].tolist()) if len(distinct[i]) <= LONG_SPAN)
             self.begin, self.size, self.values = begin, size, values
         index = slot[coded.indices.to_numpy()]

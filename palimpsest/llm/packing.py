@@ -24,6 +24,7 @@ text), its ids, and the open windows.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 
@@ -35,11 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm import shared
-from palimpsest.llm.blocks import Block, SpanCache, blocks
+from palimpsest.llm.blocks import Block, SpanCache, blocks, gathered
 
 PIECE_COLUMNS = [("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("placed", T.StringType())]
 
 
+#: Bytes of text that are looked up at once.
+ENCODE_BYTES = 8_000_000
+
+
 class ByteLevelIds:
     """Identifiers of texts by a byte-level BPE of the tokenizers library, from those of distinct cuttings.
 
@@ -56,7 +61,12 @@ class ByteLevelIds:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel workers
-        self.encode = Tokenizer.from_file(json_path).encode_batch_fast
+        library = Tokenizer.from_file(json_path)
+        self.encode = library.encode_batch_fast
+        vocabulary = library.get_vocab()
+        (space,) = library.encode(" ", add_special_tokens=False).tokens  # how the vocabulary writes a space
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
         self.cache = SpanCache(self._encode_spans, limit=800_000)
         kind = np.zeros(256, np.uint8)  # 0: white space, control characters and all beyond ASCII
         kind[0x21:0x7F] = 3
@@ -67,8 +77,20 @@ class ByteLevelIds:
         self.after_space[0xC3:0xE0] = True
         self.after_space[0xE4:0xF5] = True
 
-    def _encode_spans(self, spans: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.encode([s.decode() for s in spans], add_special_tokens=False)]
+    def _encode_spans(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # A space and ASCII letters: such words are encoded as one text, in which the tokens that begin with a space begin a word.
+        word = np.fromiter((s[0] == 0x20 and s[1:].isalpha() for s in spans), bool, len(spans))
+        sizes, flat = np.zeros(len(spans), np.int64), np.zeros(0, np.int32)
+        if word.any():
+            text = b"".join(itertools.compress(spans, word)).decode()
+            flat = np.array(self.encode([text], add_special_tokens=False)[0].ids, np.int32)
+            sizes[word] = np.diff(np.append(np.flatnonzero(self.begins[flat]), len(flat)))
+        got = [e.ids for e in self.encode([s.decode() for s in itertools.compress(spans, ~word)], add_special_tokens=False)]
+        sizes[~word] = np.fromiter(map(len, got), np.int64, len(got))
+        out, of_word = np.empty(int(sizes.sum()), np.int32), np.repeat(word, sizes)
+        out[of_word] = flat
+        out[~of_word] = np.fromiter(itertools.chain.from_iterable(got), np.int32, len(out) - len(flat))
+        return sizes, out
 
     def ids(self, block: Block, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block, an end id after each row, and the offsets of the rows."""
@@ -213,9 +235,9 @@ def pack(docs: DataFrame, json_path: str, window: int = 1024, end_id: int = 0) -
             packer.out = []
             return pa.RecordBatch.from_arrays([pa.array(columns[0], schema), *(pa.array(x, pa.int64()) for x in columns[1:7]), pa.array(columns[7], pa.string())], names=["doc_id", *(n for n, _ in PIECE_COLUMNS)])
 
-        for batch in batches:
+        for batch in gathered(batches, ENCODE_BYTES):
             schema = batch.schema.field(0).type
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), ENCODE_BYTES):
                 docs_ = batch.column(0).slice(block.first, block.rows).to_pylist()
                 ids, offsets = encoder.ids(block, end_id)
                 for doc, a, b in zip(docs_, offsets[:-1].tolist(), offsets[1:].tolist()):

@@ -132,9 +132,9 @@ class Counter:
         self.merger = Merger(read_pieces(path))
         self.cache = SpanCache(self._count_spans)
 
-    def _count_spans(self, spans: list[bytes]) -> list[tuple[int]]:
+    def _count_spans(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         count = self.merger.count
-        return [(count(s.decode().replace(" ", SPACE_MARK)),) for s in spans]
+        return np.ones(len(spans), np.int64), np.fromiter((count(s.decode().replace(" ", SPACE_MARK)) for s in spans), np.int32, len(spans))
 
     def counts(self, block: Block) -> np.ndarray:
         """Tokens of each row."""
