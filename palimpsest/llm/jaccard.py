@@ -43,6 +43,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -220,15 +221,30 @@ def _set_rows(batches, rule: Rule):
 
 
 def _array_rows(batches, rule: Rule):
-    """Texts to (node, n, bits, shingles, tiles), the last two ascending."""
+    """(text, node, copies) to (node, n, copies, bits, shingles, tiles) of the texts that have that node; the last two ascending."""
     for batch in batches:
         for block in blocks(batch.column(0)):
             r, v = shingles(block, rule.words)
             cut = np.searchsorted(r, np.arange(block.rows + 1))
-            own = [v[a:b] for a, b in zip(cut[:-1], cut[1:])]
-            tiles = [np.unique(tile_keys(x, rule).view(np.int64)).tobytes() if len(x) else b"" for x in own]
-            columns = [pa.array(set_hash(r, v, block.rows)), pa.array(np.diff(cut)), *(pa.array(x, pa.binary()) for x in ([bitmap(x).tobytes() for x in own], [x.tobytes() for x in own], tiles))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "bits", "shingles", "tiles"])
+            part = batch.slice(block.first, block.rows)
+            at = np.flatnonzero(set_hash(r, v, block.rows) == part.column(1).to_numpy())
+            part = part.take(pa.array(at))
+            own = [v[cut[i] : cut[i + 1]] for i in at.tolist()]
+            tiles = [np.unique(tile_keys(x, rule).view(np.int64)).tobytes() for x in own]
+            binary = (pa.array(x, pa.binary()) for x in ([bitmap(x).tobytes() for x in own], [x.tobytes() for x in own], tiles))
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array([len(x) for x in own], pa.int64()), part.column(2), *binary], names=["node", "n", "copies", "bits", "shingles", "tiles"])
+
+
+def _bounded_rows(batches, rule: Rule):
+    """Pairs (x, y, x's bitmap, y's bitmap, x's size, y's size) to those that sizes and bit counts allow to be linked."""
+    for batch in batches:
+        ok = []
+        for p, q, n, m in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            width = min(len(p), len(q))
+            p, q = (_fold(np.frombuffer(x, np.uint8), width).view(np.uint64) for x in (p, q))
+            bound = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+            ok.append(rule.may_link(min(n, m), max(n, m)) and rule.linked(bound, n, m))
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
 def _verify_rows(batches, rule: Rule):
@@ -247,12 +263,18 @@ def _under(rows, *parameters):
     return lambda batches: rows(batches, *parameters)
 
 
-def verify(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (x, y) whose sets are linked, by exact intersection. An x has few pairs; a y may have very many."""
-    side = lambda c: arrays.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
+def _with_sides(pairs: DataFrame, arrays: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (x, y) with columns of both nodes. An x has few pairs; a y may have very many."""
+    side = lambda c: arrays.select(F.col("node").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in columns])
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(HUB_SALTS)))
     hubs = pairs.select("y", "salt").distinct().join(side("y"), "y")
-    return pairs.join(side("x"), "x").join(hubs, ["y", "salt"]).select("x", "y", "x_set", "y_set").mapInArrow(_under(_verify_rows, rule), "x long, y long")
+    return pairs.join(side("x"), "x").join(hubs, ["y", "salt"]).select("x", "y", *[f"{c}_{k}" for k in columns for c in ("x", "y")])
+
+
+def verify(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (x, y) whose sets are linked: those that the bitmaps allow, by exact intersection."""
+    some = shared.keep(_with_sides(pairs, arrays, ["bits", "n"]).mapInArrow(_under(_bounded_rows, rule), "x long, y long"), "hub-bounded")
+    return _with_sides(some, arrays, ["shingles"]).mapInArrow(_under(_verify_rows, rule), "x long, y long")
 
 
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
@@ -318,7 +340,8 @@ class _Block:
 
 
 def _by_block(batches):
-    """Rows that begin with (key, first, second), sorted by them, as (those three, rows without them) for each block of two rows or more."""
+    """Rows that begin with (key, first, second, own, node), sorted by these, as (the first three, the rest) for each block of two
+    nodes or more; a repeated node counts once."""
     held, at = [], None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -326,7 +349,8 @@ def _by_block(batches):
                 if len(held) > 1:
                     yield at, held
                 held, at = [], row[:3]
-            held.append(row[3:])
+            if not held or held[-1][1] != row[4]:
+                held.append(row[3:])
     if len(held) > 1:
         yield at, held
 
@@ -409,7 +433,8 @@ def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
 @dataclass
 class Candidates:
     """sets: a row for each document (doc_id, node, n). rows: (key, node) of the tiles of two nodes or more, one tile for the same
-    nodes. arrays: (node, n, bits, shingles, tiles) and the number of documents (copies) of the nodes in rows."""
+    nodes. arrays: (node, n, copies, bits, shingles, tiles) of the nodes in rows, where copies is the number of documents; a node
+    may have several equal rows, if its document has."""
 
     sets: DataFrame
     rows: DataFrame
@@ -419,22 +444,26 @@ class Candidates:
 def candidates(docs: DataFrame, rule: Rule) -> Candidates:
     docs = docs.select("doc_id", "text")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    sets = shared.keep(docs.mapInArrow(_under(_set_rows, rule), schema), "sets")
-    postings = sets.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    many = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    rows = shared.keep(postings.join(many.hint("shuffle_hash"), "key", "left_semi").distinct(), "tiles-all")
+    made = shared.keep(docs.mapInArrow(_under(_set_rows, rule), schema), "sets-keys")
+    sets = shared.keep(made.drop("keys"), "sets")
+    # One exchange of the postings finds the tiles of several nodes and their rows.
+    tile = W.partitionBy("key")
+    postings = made.where("keys is not null").select("node", F.explode("keys").alias("key"))
+    rows = postings.withColumn("lo", F.min("node").over(tile)).withColumn("hi", F.max("node").over(tile)).where("lo <> hi").select("key", "node")
+    rows = shared.keep(rows.distinct(), "tiles-all")
+    shared.drop(made)
+    del made, postings
+    shared.release(docs.sparkSession)
     who = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"who{k}") for k in (1, 2)]
     one = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *who).groupBy("members", "who1", "who2").agg(F.min("key").alias("key")).select("key")
     tiles = shared.keep(rows.join(one, "key", "left_semi"), "tiles")
     shared.drop(rows)
     # The sets of the nodes that share a tile, from one of their texts.
-    named = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    named = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("copies"))
     wanted = shared.keep(tiles.select("node").distinct().join(named, "node"), "candidates")
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    few = wanted.count() <= 2_000_000  # 16 bytes each
-    texts = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    made = texts.mapInArrow(_under(_array_rows, rule), "node long, n long, bits binary, shingles binary, tiles binary")
-    arrays = shared.keep(made.join(wanted.select("node", "copies"), "node").dropDuplicates(["node"]), "arrays")
+    few = wanted.count() <= 2_000_000  # 24 bytes each
+    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node", "copies")
+    arrays = shared.keep(texts.mapInArrow(_under(_array_rows, rule), "node long, n long, copies long, bits binary, shingles binary, tiles binary"), "arrays")
     return Candidates(sets, tiles, arrays)
 
 
@@ -447,12 +476,12 @@ def linked(found: Candidates, rule: Rule, comps: DataFrame | None = None) -> Dat
         rows = shared.keep(_with_comp(rows, comps), "tile-comps")
     of_tile = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.max("n").alias("most")]
     side = F.least(F.lit(TILE_BLOCK), F.greatest(F.lit(16), F.lit(BLOCK_SHINGLES) / F.col("most")))
-    tiles = rows.join(arrays.select("node", "n"), "node").groupBy("key").agg(*of_tile).where("lo <> hi").select("key", F.ceil(F.col("members") / side).cast("int").alias("nb"))
+    tiles = rows.join(arrays.select("node", "n").distinct(), "node").groupBy("key").agg(*of_tile).where("lo <> hi").select("key", F.ceil(F.col("members") / side).cast("int").alias("nb"))
     rows = shared.keep(rows.join(tiles, "key"), "tile-blocks")
     member = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     # A node meets each block of its tile once: as the first side or the second.
     member = member.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("own", "with").alias("first"), F.greatest("own", "with").alias("second"), "own", "node", "comp")
-    by_block = lambda df: df.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
+    by_block = lambda df: df.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "own", "node")
     known = arrays.select("node", "n", "bits").join(rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_TILES).alias("tiles")), "node")
     full = member.join(known, "node").select("key", "first", "second", "own", "node", "comp", "n", "bits", "tiles")
     marked = shared.keep(by_block(full).mapInArrow(_under(_marked_rows, rule), "key long, first long, second long, own long, node long, comp long"), "marked")
@@ -466,6 +495,7 @@ def join_near(docs: DataFrame, rule: Rule = OP5) -> tuple[DataFrame, DataFrame,
     other sets that are linked with it)."""
     found = candidates(docs, rule)
     rows = shared.keep(linked(found, rule), "near-links")
+    shared.drop(found.arrays)
     copies = found.sets.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
     near = rows.where("near > 0").groupBy(F.col("x").alias("node")).agg(F.sum("near").alias("near"))
     counts = copies.join(near, "node", "left").na.fill(0, ["near"])
@@ -491,7 +521,10 @@ def near_links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         best = tried.groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
         new = verify(best.select(F.col("node").alias("x"), F.col("hub").alias("y")), found.arrays, rule)
         links = shared.keep(new if links is None else new.unionByName(links), "hub-links")
+        shared.release(docs.sparkSession)
     more = shared.keep(linked(found, rule, components(links)).where("x <> y").select("x", "y"), "near-links")
+    shared.drop(found.arrays)
+    shared.release(docs.sparkSession)
     return _documents(found), links.unionByName(more)
 
 

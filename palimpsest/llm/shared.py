@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -58,10 +59,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: it does so once the driver has collected what refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Deletes what keep() wrote, once nothing reads it any more."""
     spark = df.sparkSession
