@@ -65,6 +65,8 @@ MAX_BITS = 1 << 14
 FIRST_TILES = 32
 #: Nodes whose counts and links a task holds before it hands them on.
 HELD_NODES = 200_000
+#: Rows, of 48 bytes at most, up to which one side of a join is broadcast.
+FEW = 500_000
 #: Parts into which the partners of a hub are dealt.
 HUB_SALTS = 256
 #: Deals of a set that has too few parts in use; after the last one its empty parts are tiles too.
@@ -266,14 +268,14 @@ def _under(rows, *parameters):
 def _with_sides(pairs: DataFrame, arrays: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs (x, y) with columns of both nodes. An x has few pairs; a y may have very many."""
     side = lambda c: arrays.select(F.col("node").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in columns])
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(HUB_SALTS)))
-    hubs = pairs.select("y", "salt").distinct().join(side("y"), "y")
-    return pairs.join(side("x"), "x").join(hubs, ["y", "salt"]).select("x", "y", *[f"{c}_{k}" for k in columns for c in ("x", "y")])
+    pairs = shared.keep(pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(HUB_SALTS))), "hub-pairs")
+    hubs = shared.broadcast_if_few(shared.keep(pairs.select("y", "salt").distinct(), "hub-salts"), FEW).join(side("y"), "y")
+    return shared.broadcast_if_few(pairs, FEW).join(side("x"), "x").join(hubs, ["y", "salt"]).select("x", "y", *[f"{c}_{k}" for k in columns for c in ("x", "y")])
 
 
 def verify(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (x, y) whose sets are linked: those that the bitmaps allow, by exact intersection."""
-    some = shared.keep(_with_sides(pairs, arrays, ["bits", "n"]).mapInArrow(_under(_bounded_rows, rule), "x long, y long"), "hub-bounded")
+    some = _with_sides(pairs, arrays, ["bits", "n"]).mapInArrow(_under(_bounded_rows, rule), "x long, y long")
     return _with_sides(some, arrays, ["shingles"]).mapInArrow(_under(_verify_rows, rule), "x long, y long")
 
 
@@ -461,8 +463,7 @@ def candidates(docs: DataFrame, rule: Rule) -> Candidates:
     # The sets of the nodes that share a tile, from one of their texts.
     named = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("copies"))
     wanted = shared.keep(tiles.select("node").distinct().join(named, "node"), "candidates")
-    few = wanted.count() <= 2_000_000  # 24 bytes each
-    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node", "copies")
+    texts = docs.join(shared.broadcast_if_few(wanted, FEW), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node", "copies")
     arrays = shared.keep(texts.mapInArrow(_under(_array_rows, rule), "node long, n long, copies long, bits binary, shingles binary, tiles binary"), "arrays")
     return Candidates(sets, tiles, arrays)
 
@@ -485,7 +486,7 @@ def linked(found: Candidates, rule: Rule, comps: DataFrame | None = None) -> Dat
     known = arrays.select("node", "n", "bits").join(rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_TILES).alias("tiles")), "node")
     full = member.join(known, "node").select("key", "first", "second", "own", "node", "comp", "n", "bits", "tiles")
     marked = shared.keep(by_block(full).mapInArrow(_under(_marked_rows, rule), "key long, first long, second long, own long, node long, comp long"), "marked")
-    full = marked.join(arrays, "node").select("key", "first", "second", "own", "node", "comp", "copies", "shingles", "tiles")
+    full = shared.broadcast_if_few(marked, FEW).join(arrays, "node").select("key", "first", "second", "own", "node", "comp", "copies", "shingles", "tiles")
     return by_block(full).mapInArrow(_under(_linked_rows, rule, comps is None), "x long, y long, near long")
 
 
@@ -566,4 +567,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = shared.keep(docs.withColumn(row, F.monotonically_increasing_id()), "stage-rows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     first = near_components(docs.select(key.alias("doc_id"), "text"), STAGE).where("doc_id = component_id").select(F.col("doc_id.row").alias(row))
+    first = shared.broadcast_if_few(shared.keep(first, "stage-first"), 4 * FEW)  # 8 bytes each
     return docs.join(first, row, "left_semi").drop(row)

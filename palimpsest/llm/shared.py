@@ -63,6 +63,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_few(df: DataFrame, rows: int) -> DataFrame:
+    """A kept table, to be broadcast where it has no more rows than that, and joined by an exchange beyond."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now: it does so once the driver has collected what refers to them."""
     gc.collect()
