@@ -33,7 +33,7 @@ def pattern_spans(text: Column, name: str, pattern: str, priority: int) -> Colum
         maybe &= text.rlike(gate)
     elif gate:
         maybe &= reduce(or_, [text.contains(g) for g in gate])
-    return F.when(maybe & text.rlike(pattern), folded).otherwise(F.array().cast(SPAN))
+    return F.when(maybe, folded).otherwise(F.array().cast(SPAN))
 
 
 def entropy(token: Column) -> Column:
@@ -77,13 +77,33 @@ def tier1(text: Column, types: tuple[str, ...] | None = None, custom: tuple[tupl
     return F.flatten(F.array(*[pattern_spans(text, n, p, P.PRIORITY[n]) for n, p in chosen], *[pattern_spans(text, n, p, 100 + k) for k, (n, p) in enumerate(custom)]))
 
 
-def with_spans(df: DataFrame, text: str = "text", types: tuple[str, ...] | None = None, secrets: bool = True, custom: tuple[tuple[str, str], ...] = (), out: str = "spans") -> DataFrame:
-    """df with its resolved, completed spans in a column. Each step is exploded from an array of one, or the optimizer
-    would copy the whole of it into every place that uses it."""
+def folded_spans(text: Column, folded: Column, types: tuple[str, ...] | None = None, custom: tuple[tuple[str, str], ...] = ()) -> Column:
+    """Spans that the patterns find in a text whose look-alikes are folded, one character for one; they name the text's own."""
+    own = lambda s: F.struct(s["start"], s["end"], s["entity_type"], F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("matched"), s["priority"])
+    return F.transform(tier1(F.when(folded != text, folded), types, custom), own)
+
+
+def with_spans(df: DataFrame, text: str = "text", types: tuple[str, ...] | None = None, secrets: bool = True, custom: tuple[tuple[str, str], ...] = (), out: str = "spans", encoded: bool = False, table: tuple[str, str] | None = None) -> DataFrame:
+    """df with its resolved, completed spans in a column. The text is normalised first and is so in the result, which the spans
+    count in; patterns are tried on it and on its copy with look-alikes folded (by a table, if given). With encoded, runs whose
+    decoding holds a value are spans too. Each step is exploded from an array of one, or the optimizer would copy the whole of
+    it into every place that uses it."""
+    from palimpsest.functions import encoded as E
+    from palimpsest.functions import text as T
+
     once = lambda c: F.explode(F.array(c))
-    spans = tier1(F.col(text), types, custom)
-    resolved = df.withColumn("_resolved", once(resolve(F.concat(spans, secret_spans(F.col(text))) if secrets else spans)))
-    return resolved.withColumn(out, once(complete_digit_runs(F.col(text), F.col("_resolved")))).drop("_resolved")
+    columns = df.columns
+    t = F.col(text)
+    d = df.withColumn(text, once(T.normalize(t)))
+    d = d.withColumn("_folded", once(folded_spans(t, T.fold_look_alikes(t, table), types, custom)))
+    found = F.concat(tier1(t, types, custom), F.col("_folded"))
+    if secrets:
+        found = F.concat(found, secret_spans(t))
+    if encoded:
+        d = E.with_entity_spans(d.withColumn("_encoded", once(F.concat(E.base64_spans(t), E.percent_spans(t)))), text, "_entities")
+        found = F.concat(found, F.col("_encoded"), F.col("_entities"))
+    resolved = d.withColumn("_resolved", once(resolve(found)))
+    return resolved.withColumn(out, once(complete_digit_runs(t, F.col("_resolved")))).select(*[c for c in columns if c != out], out)
 
 
 def digits(value: Column) -> Column:

@@ -22,8 +22,8 @@ def strip_invisible(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """NFKC, then without invisible characters; texts in ASCII are the same already and stay in the JVM."""
-    plain = ~text.rlike(r"[^\x00-\x7F]")
+    """NFKC, then without invisible characters; texts of settled characters are the same already and stay in the JVM."""
+    plain = text.rlike(P.SETTLED)
     return F.when(plain, text).otherwise(strip_invisible(_nfkc(F.when(~plain, text))))
 
 
@@ -31,6 +31,20 @@ def normalize(text: Column) -> Column:
 _LOOK_ALIKE = ("аеорсухіјѕԁһԛԝАВЕКМНОРСТХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "aeopcyxijsdhqwABEKMHOPCTXIJSABEZHIKMNOPTYXo")
 
 
+def confusables(lines: list[str]) -> tuple[str, str]:
+    """Look-alikes and their ASCII letters or digits in lower case, of lines of the public confusables table (code points as hex:
+    ``source ; prototype ; type``). Only single characters beyond ASCII with a single ASCII letter or digit as prototype count."""
+    found = {}
+    for line in lines:
+        fields = [x.split() for x in line.lstrip("\ufeff").split("#")[0].split(";")]
+        if len(fields) < 2 or len(fields[0]) != 1 or len(fields[1]) != 1:
+            continue
+        look, plain = (chr(int(x[0], 16)) for x in fields[:2])
+        if not look.isascii() and plain.isascii() and plain.isalnum():
+            found[look] = plain.lower()
+    return "".join(found), "".join(found.values())
+
+
 def fold_look_alikes(text: Column, table: tuple[str, str] | None = None) -> Column:
     """One character for one, so that offsets hold."""
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c) for c in range(0x21, 0x7F))

@@ -34,11 +34,35 @@ def network_join(spark, d):
     return governance.in_networks(a, n).select("s_suppkey", "net")
 
 
-def egress(spark, d):
+def egress_verdicts(spark, d):
     p = table(spark, d, "pages")
-    address = F.when(F.col("page_id") % 4 == 0, "10.0.0.8").otherwise("93.184.216.34")
-    mode = F.when(F.col("page_id") % 3 == 0, "BLOCK_PRIVATE").otherwise("other")
-    return p.select("page_id", governance.egress_verdict(F.col("url"), mode, ("*.example.com", "*.example.org"), address).alias("verdict"))
+    k = F.col("page_id")
+    addresses = F.when(k % 4 == 0, F.array(F.lit("93.184.216.34"), F.lit("10.0.0.8"))).when(k % 4 == 1, F.array(F.lit("2606:2800:220:1::1"))).when(k % 4 == 2, F.array(F.lit("fd00::8"))).when(k % 8 == 3, F.array(F.lit("93.184.216.34")))
+    mode = F.when(k % 3 == 0, "DEFAULT_BLOCK").when(k % 3 == 1, "allowlist-only")
+    url = F.when(k % 11 == 5, F.lit("http://user@[::1]:80/x")).when(k % 11 == 6, F.lit("http:\\\\a.example.com")).otherwise(F.col("url"))
+    return p.select("page_id", governance.egress_verdict(url, mode, ("*.example.com", "*.example.org"), addresses).alias("verdict"))
+
+
+def providers(spark, d):
+    e = table(spark, d, "events")
+    k = F.col("event_id")
+    host = F.when(k % 3 == 0, "API.anthropic.com.").when(k % 3 == 1, "notanthropic.com")
+    model = F.when(k % 2 == 0, F.lit("claude-x")).when(k % 5 == 0, F.lit("Anthropic/y")).otherwise(F.lit("other"))
+    return e.select("event_id", governance.provider_of(F.when(k % 7 == 0, "Custom"), model, host, "OpenAI").alias("provider"))
+
+
+def ranges_joined(spark, d):
+    """Addresses in ranges that begin and end anywhere."""
+    ip = F.concat_ws(".", (F.col("s_suppkey") % 256).cast("string"), (F.col("s_nationkey") * 8).cast("string"), F.lit("0"), F.lit("1"))
+    a = table(spark, d, "supplier").select("s_suppkey", ip.alias("ip"))
+    low = (F.col("n_nationkey") * (1 << 23) + 12345).cast("long")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("net"), low.alias("low"), (low + F.pow(F.col("n_nationkey") + 1, 5).cast("long")).alias("high"))
+    return governance.in_networks(a, n).select("s_suppkey", "net")
+
+
+def system_hoisted(spark, d):
+    c = governance.collapse_roles(table(spark, d, "conversations").withColumn("role", F.when(F.col("turn") % 4 == 0, "system").otherwise(F.col("role"))))
+    return c.select("conv_id", "block", "role", "n_turns", F.md5("system").alias("system_md5"), F.md5("text").alias("text_md5"))
 
 
 def urls_introduced(spark, d):
@@ -144,7 +168,7 @@ def usage_totals(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n_requests"), F.round(F.sum("value"), 2).alias("total"))
 
 
-_ALL = (tool_verdicts, hosts, addresses_denied, network_join, egress, urls_introduced, role_collapse, key_roles, audit_chains, chain_roots, event_counts, two_part_chunks, two_part_items, three_part_counts, policy_leaks, twin_discordance, axis_arms, index_percentiles, sweep, sign_tests, sign_flip, holm_adjusted, usage_totals)
+_ALL = (tool_verdicts, hosts, addresses_denied, network_join, ranges_joined, egress_verdicts, providers, system_hoisted, urls_introduced, role_collapse, key_roles, audit_chains, chain_roots, event_counts, two_part_chunks, two_part_items, three_part_counts, policy_leaks, twin_discordance, axis_arms, index_percentiles, sweep, sign_tests, sign_flip, holm_adjusted, usage_totals)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _N = "(CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT))"
@@ -154,7 +178,7 @@ _HOST = r"CASE WHEN regexp_matches(url, '(?i)^https?://[a-z0-9.-]+(?::\d{1,5})?(
 def _ranges() -> str:
     import ipaddress
 
-    return " OR ".join(f"n BETWEEN {int(x.network_address)} AND {int(x.broadcast_address)}" for x in map(ipaddress.ip_network, governance.DENIED_NETS))
+    return " OR ".join(f"n BETWEEN {int(x.network_address)} AND {int(x.broadcast_address)}" for x in map(ipaddress.ip_network, governance.DENIED_NETS) if x.version == 4)
 
 
 ORACLES = {
@@ -164,7 +188,18 @@ ORACLES = {
     "network_join": f"""WITH a AS (SELECT s_suppkey, concat_ws('.', s_suppkey % 256, s_nationkey * 8, 0, 1) AS ip FROM supplier), b AS (SELECT s_suppkey, {_N} AS n FROM a),
       w AS (SELECT n_nationkey AS net, n_nationkey::BIGINT * 16777216 AS low, n_nationkey::BIGINT * 16777216 + CASE WHEN n_nationkey % 2 = 0 THEN 16777215 ELSE 524287 END AS high FROM nation)
       SELECT s_suppkey, net FROM b JOIN w ON n BETWEEN low AND high""",
-    "egress": f"""WITH h AS (SELECT page_id, {_HOST} AS h FROM pages) SELECT page_id, CASE WHEN h IS NULL THEN 'bad_url' WHEN page_id % 3 <> 0 AND NOT regexp_matches(h, '^.*[.]example[.](com|org)$') THEN 'not_listed' WHEN page_id % 4 = 0 THEN 'denied_address' ELSE 'allow' END AS verdict FROM h""",
+    "egress_verdicts": """WITH u AS (SELECT page_id AS k, CASE WHEN page_id % 11 = 5 THEN 'http://user@[::1]:80/x' WHEN page_id % 11 = 6 THEN 'http:' || chr(92) || chr(92) || 'a.example.com' ELSE trim(url) END AS v FROM pages),
+      h AS (SELECT k, CASE WHEN k % 11 = 5 THEN '[::1]' WHEN contains(v, chr(92)) THEN NULL ELSE nullif(lower(regexp_replace(regexp_replace(regexp_extract(v, '(?i)^https?://([^/?#]+)', 1), '^.*@', ''), ':[0-9]+$', '')), '') END AS h FROM u)
+      SELECT k AS page_id, CASE WHEN h IS NULL OR (k % 11 <> 5 AND NOT regexp_matches(h, '^([a-z0-9_-]+[.])*[a-z0-9_-]+[.]?$')) THEN 'bad_url'
+        WHEN k % 3 = 1 AND NOT regexp_matches(h, '[.]example[.](com|org)[.]?$') THEN 'not_listed' WHEN k % 11 = 5 THEN 'denied_address'
+        WHEN k % 8 = 7 THEN 'no_address' WHEN k % 4 IN (0, 2) THEN 'denied_address' ELSE 'allow' END AS verdict FROM h""",
+    "providers": """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'custom' WHEN event_id % 3 = 0 AND (event_id % 2 = 0 OR event_id % 5 = 0) THEN 'anthropic' ELSE 'openai' END AS provider FROM events""",
+    "ranges_joined": f"""WITH a AS (SELECT s_suppkey, concat_ws('.', s_suppkey % 256, s_nationkey * 8, 0, 1) AS ip FROM supplier), b AS (SELECT s_suppkey, {_N} AS n FROM a),
+      w AS (SELECT n_nationkey AS net, n_nationkey::BIGINT * 8388608 + 12345 AS low, n_nationkey::BIGINT * 8388608 + 12345 + pow(n_nationkey + 1, 5)::BIGINT AS high FROM nation)
+      SELECT s_suppkey, net FROM b JOIN w ON n BETWEEN low AND high""",
+    "system_hoisted": """WITH c AS (SELECT conv_id, turn, text, CASE WHEN turn % 4 = 0 THEN 'system' ELSE role END AS role FROM conversations), s AS (SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS system_md5 FROM c WHERE role = 'system' GROUP BY conv_id),
+      r AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS new FROM c WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), b AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM r)
+      SELECT conv_id, block, first(role) AS role, count(*) AS n_turns, any_value(system_md5) AS system_md5, md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5 FROM b LEFT JOIN s USING (conv_id) GROUP BY conv_id, block""",
     "urls_introduced": "SELECT page_id, 2 AS n_urls, 'http://new.example.com/x' AS introduced FROM pages",
     "role_collapse": """WITH r AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS new FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
       b AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM r) SELECT conv_id, block, first(role) AS role, count(*) AS n_turns, md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5 FROM b GROUP BY conv_id, block""",
