@@ -20,7 +20,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: SQL can express neither the trained stages nor the packing; tests hold the pipeline against brute force.
+#: SQL can express neither the trained stages nor the packing; tests/llm/test_tables.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
