@@ -40,4 +40,5 @@ def components(links: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
+    shared.release(edges.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))

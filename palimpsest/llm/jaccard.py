@@ -568,4 +568,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     first = near_components(docs.select(key.alias("doc_id"), "text"), STAGE).where("doc_id = component_id").select(F.col("doc_id.row").alias(row))
     first = shared.broadcast_if_few(shared.keep(first, "stage-first"), 4 * FEW)  # 8 bytes each
+    shared.release(spark)
     return docs.join(first, row, "left_semi").drop(row)

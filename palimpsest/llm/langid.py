@@ -118,20 +118,21 @@ def _count_rows(batches):
             yield pa.RecordBatch.from_arrays([langs.slice(block.first, block.rows), pa.array(ids, pa.binary()), pa.array(vals, pa.binary())], schema=schema)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, p: Params, seed: int) -> np.ndarray:
-    """Linear SVM (squared hinge) by dual coordinate descent; the last column of x is the bias. y is +1 or -1."""
-    n, d = x.shape
+def _svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, p: Params, seed: int) -> np.ndarray:
+    """Linear SVM (squared hinge) over some rows of x by dual coordinate descent; the last column of x is the bias. y is +1 or -1."""
+    n, d = len(rows), x.shape[1]
     w, alpha = np.zeros(d, np.float32), np.zeros(n)
     share = {s: max(1, int((y == s).sum())) for s in (1, -1)}
     diag = np.where(y > 0, n / (2 * p.cost * share[1]), n / (2 * p.cost * share[-1])) * 0.5
-    q = np.einsum("ij,ij->i", x, x) + diag
+    q = np.einsum("ij,ij->i", x, x)[rows] + diag
     rng = np.random.default_rng(seed)
     for _ in range(p.passes):
         for i in rng.permutation(n):
-            g = y[i] * float(x[i] @ w) - 1 + diag[i] * alpha[i]
+            own = x[rows[i]]
+            g = y[i] * float(own @ w) - 1 + diag[i] * alpha[i]
             new = max(0.0, alpha[i] - g / q[i])
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w += np.float32((new - alpha[i]) * y[i]) * own
                 alpha[i] = new
     return w
 
@@ -218,7 +219,7 @@ def train(langs: list[str], rows: list[tuple[np.ndarray, np.ndarray]], p: Params
         x = np.zeros((len(rows), 2 * DIM + 1), np.float32)
         for i, (u, v) in enumerate(rows):
             x[i, u] = v
-        norm = float(np.sqrt((x * x).sum(1)).mean()) or 1.0
+        norm = float(np.sqrt(np.einsum("ij,ij->i", x, x)).mean()) or 1.0
         x /= norm
         x[:, -1] = 1.0
         label = np.array(langs)
@@ -226,8 +227,8 @@ def train(langs: list[str], rows: list[tuple[np.ndarray, np.ndarray]], p: Params
         for k, (kind, a, b) in enumerate(machines):
             rows_k = np.arange(len(rows)) if kind == "family" else np.flatnonzero((label == a) | (label == b))
             y = np.where((fam if kind == "family" else label)[rows_k] == a, 1.0, -1.0)
-            w = _svm(x[rows_k] if kind == "pair" else x, y, p, k)
-            scale[k], shift[k] = _calibrate(x[rows_k] @ w, y)
+            w = _svm(x, rows_k, y, p, k)
+            scale[k], shift[k] = _calibrate((x @ w)[rows_k], y)
             weights[k, : 2 * DIM] = w[: 2 * DIM] / norm
             bias[k] = w[-1]
     return Model(names, family, machines, weights, bias, scale, shift)
@@ -236,9 +237,9 @@ def train(langs: list[str], rows: list[tuple[np.ndarray, np.ndarray]], p: Params
 def fit(docs: DataFrame, params: Params = Params()) -> Model:
     """docs(doc_id, text, lang): trains on a bounded hash sample of the rows with text and lang."""
     labelled = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
-    rows = shared.hash_sample(labelled, "doc_id", params.max_rows).select("lang", "text").mapInArrow(_count_rows, "lang string, buckets binary, freqs binary").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["buckets"]), bytes(r["freqs"])))
-    return train([r["lang"] for r in rows], [(np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["freqs"], np.float32)) for r in rows], params)
+    rows = shared.hash_sample(labelled, "doc_id", params.max_rows).select("lang", "text").mapInArrow(_count_rows, "lang string, buckets binary, freqs binary").toArrow()
+    rows = sorted(zip(*(rows[c].to_pylist() for c in ("lang", "buckets", "freqs"))))
+    return train([r[0] for r in rows], [(np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.float32)) for r in rows], params)
 
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -69,7 +69,7 @@ def broadcast_if_few(df: DataFrame, rows: int) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now: it does so once the driver has collected what refers to them."""
+    """Lets go of finished steps now: of their plans on the driver and, once those are collected, of their shuffle files."""
     gc.collect()
     spark._jvm.System.gc()
 

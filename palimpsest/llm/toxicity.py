@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,7 @@ class Params:
     max_positive: int = 1500
     max_unlabelled: int = 3000
     rounds: int = 200
-    rate: float = 0.05
+    rate: float = 0.1
     penalty: float = 3e-4
 
 
@@ -121,8 +122,11 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     n_p, n_u = len(positive), len(unlabelled)
     if not n_p or not n_u or not 0 < prior < 1:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 60.0 if n_p and prior >= 1 else -60.0)
-    doc = np.repeat(np.arange(n_p + n_u), [len(x) for x in (*positive, *unlabelled)])
-    keys, col = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
+    doc = np.repeat(np.arange(n_p + n_u, dtype=np.int32), [len(x) for x in (*positive, *unlabelled)])
+    flat = np.concatenate([*positive, *unlabelled])
+    keys = np.unique(flat)
+    col = np.searchsorted(keys, flat).astype(np.int32)
+    del flat
     w, b = np.zeros(len(keys)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(keys)), np.zeros(len(keys))
     for t in range(1, p.rounds + 1):
@@ -148,9 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     pos = text.join(F.broadcast(pos_ids), "doc_id", "left_semi")  # ids bounded by max_positive
     pos = pos.select(F.lit(True).alias("positive"), "text")
     unl = shared.hash_sample(text, "doc_id", params.max_unlabelled).select(F.lit(False).alias("positive"), "text")
-    rows = pos.unionByName(unl).mapInArrow(_feature_rows, "positive boolean, features binary").collect()
+    rows = pos.unionByName(unl).mapInArrow(_feature_rows, "positive boolean, features binary").toArrow()
     # Copies of one text are one example, or each word of a much-copied toxic text would look toxic.
-    get = lambda flag: [np.frombuffer(x, np.uint64) for x in sorted({bytes(r["features"]) for r in rows if r["positive"] == flag})]
+    get = lambda flag: [np.frombuffer(x, np.uint64) for x in sorted(rows.filter(pc.equal(rows["positive"], flag))["features"].unique().to_pylist())]
     return train(get(True), get(False), float(share), params)
 
 
