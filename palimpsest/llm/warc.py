@@ -30,6 +30,7 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "va
 BUCKET_SECONDS = 3600
 #: Parts into which the revisits of a response are dealt.
 SALTS = 32
+SHARE = 1000
 
 
 def canonical_url(url: Column) -> Column:
@@ -82,8 +83,16 @@ def resolve(revisits: DataFrame, responses: DataFrame) -> DataFrame:
     status = F.when(F.col("found").isNull(), "orphan").when(F.coalesce(same, F.lit(False)), "resolved").otherwise("mismatch")
     found = found.select("id", "canonical", F.col("found.id").alias("response_id"), status.alias("status"), F.col("headers").alias("fresh"))
     body = responses.select(F.col("id").alias("response_id"), F.col("headers").alias("stored"), "body")
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("id", "canonical"), F.lit(SALTS)))
-    out = salted.join(salted.select("response_id", "salt").distinct().join(body, "response_id"), ["response_id", "salt"], "left")
+    found = shared.keep(found, "as-of")
+    total, columns = found.count(), [*found.columns, "stored", "body"]
+    # At most SHARE responses can each stand for more than one of SHARE parts of the revisits: their bodies go out by parts.
+    often = shared.keep(found.where("response_id is not null").groupBy("response_id").count().where(F.col("count") * SHARE > total).select("response_id"), "often")
+    few = found.where("response_id is not null").join(F.broadcast(often), "response_id", "left_anti").join(body, "response_id", "left")
+    many = found.join(F.broadcast(often), "response_id", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id", "canonical", F.monotonically_increasing_id()), F.lit(SALTS)))
+    copies = body.join(F.broadcast(often), "response_id", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    many = many.join(copies.withColumn("salt", F.col("salt").cast("long")), ["response_id", "salt"])
+    lone = found.where("response_id is null").withColumn("stored", F.lit(None).cast("map<string,string>")).withColumn("body", F.lit(None).cast(body.schema["body"].dataType))
+    out = few.select(*columns).unionByName(many.select(*columns)).unionByName(lone.select(*columns))
     taken = F.col("status") == "resolved"
     return out.select("id", "canonical", "response_id", "status", F.when(taken, merge_headers(F.col("stored"), F.col("fresh"))).otherwise(F.col("fresh")).alias("headers"), F.when(taken, F.col("body")).alias("body"))
 
