@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from palimpsest.llm import band, decontaminate, jaccard, langid, lattice, mpegts, packing, sharding, tokencount, toxicity, warc
+from palimpsest.llm import band, decontaminate, innertop, jaccard, langid, lattice, mpegts, packing, sharding, tokencount, toxicity, treaps, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -16,7 +16,9 @@ QUERIES = {
     "op8_tokencount": tokencount.op8_tokencount,
     "op9_warc": warc.op9_warc,
     "op10_mpegts": mpegts.op10_mpegts,
+    "op11_treaps": treaps.op11_treaps,
+    "op12_innertop": innertop.op12_innertop,
     "op13_band": band.op13_band,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op9_warc": warc.ORACLE, "op13_band": band.ORACLE}
+ORACLES: dict[str, str] = {"op9_warc": warc.ORACLE, "op11_treaps": treaps.ORACLE, "op12_innertop": innertop.ORACLE, "op13_band": band.ORACLE}
