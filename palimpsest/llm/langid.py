@@ -99,23 +99,21 @@ def _lengths(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(1, n - 2), np.maximum(1, n - 4)
 
 
-def _count_rows(batches):
-    """(lang, text) to (lang, buckets, values): the sparse frequencies of each text."""
-    schema = pa.schema([("lang", pa.string()), ("buckets", pa.binary()), ("freqs", pa.binary())])
+def _frequencies(batches) -> list[tuple[str, bytes, bytes]]:
+    """The language and the sparse frequencies (buckets, values) of each text of (lang, text), in a fixed order."""
+    out = []
     for batch in batches:
-        langs = batch.column("lang")
-        for block in blocks(batch.column("text")):
+        langs = batch.column(0).to_pylist()
+        for block in blocks(batch.column(1)):
             g3, g5 = _grams(block)
             n3, n5 = _lengths(block)
-            ids, vals = [], []
             for i, (a, b) in enumerate(zip(block.offsets[:-1], block.offsets[1:])):
                 u3, c3 = np.unique(g3[a:b], return_counts=True)
                 u5, c5 = np.unique(g5[a:b], return_counts=True)
                 u, v = np.concatenate((u3, u5)), np.concatenate((c3 / n3[i], c5 / n5[i]))
                 real = u < 2 * DIM
-                ids.append(u[real].astype(np.uint16).tobytes())
-                vals.append(v[real].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([langs.slice(block.first, block.rows), pa.array(ids, pa.binary()), pa.array(vals, pa.binary())], schema=schema)
+                out.append((langs[block.first + i], u[real].astype(np.uint16).tobytes(), v[real].astype(np.float32).tobytes()))
+    return sorted(out)
 
 
 def _svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, p: Params, seed: int) -> np.ndarray:
@@ -235,11 +233,14 @@ def train(langs: list[str], rows: list[tuple[np.ndarray, np.ndarray]], p: Params
 
 
 def fit(docs: DataFrame, params: Params = Params()) -> Model:
-    """docs(doc_id, text, lang): trains on a bounded hash sample of the rows with text and lang."""
+    """docs(doc_id, text, lang): trains on a bounded hash sample of the rows with text and lang, of a repeated doc_id on one. One task trains; only the machines come to the driver."""
     labelled = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
-    rows = shared.hash_sample(labelled, "doc_id", params.max_rows).select("lang", "text").mapInArrow(_count_rows, "lang string, buckets binary, freqs binary").toArrow()
-    rows = sorted(zip(*(rows[c].to_pylist() for c in ("lang", "buckets", "freqs"))))
-    return train([r[0] for r in rows], [(np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.float32)) for r in rows], params)
+
+    def learn(batches) -> Model:
+        rows = _frequencies(batches)
+        return train([r[0] for r in rows], [(np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.float32)) for r in rows], params)
+
+    return shared.trained(shared.hash_sample(labelled, "doc_id", params.max_rows).select("lang", "text"), learn)
 
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

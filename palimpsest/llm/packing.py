@@ -9,9 +9,7 @@ What is open when the input of a task ends stays as the level array placed it
 and is filled up: documents may be cut, so the fullest window takes what it
 lacks from the emptiest one, until one is left, which becomes sequences whose
 lengths are powers of two. So no padding is left. The column ``placed`` tells
-which windows the level array closed. The same happens when MAX_OPEN windows
-are open, which bounds memory and is reached only if hardly any two remainders
-fit into one window.
+which windows the level array closed. However many windows are open, the level array goes on.
 
 Every task packs its own rows, in one pass and without a shuffle; a sequence
 never holds rows of two tasks, and its id is the task's number and a counter.
@@ -19,7 +17,7 @@ never holds rows of two tasks, and its id is the task's number and a counter.
 Cases: a null or empty text is its end token alone. Repeated rows, and rows
 with equal or null doc_ids, are packed each for itself. An empty table gives
 no pieces; other columns are ignored. Memory: one block of text (or the longest
-text), its ids, and the open windows.
+text), its ids, and the open windows: ids of the task's own input, of two bytes each for a vocabulary below 65,536.
 """
 
 from __future__ import annotations
@@ -121,8 +119,6 @@ class ByteLevelIds:
         return ids, offsets
 
 
-#: Open windows of a task; 4 KiB of ids each at most.
-MAX_OPEN = 16_384
 #: Of ``placed``: a window of one document, one that the level array closed, one that was open at the end.
 WHOLE, LEVEL, END = "whole", "level", "end"
 
@@ -130,8 +126,8 @@ WHOLE, LEVEL, END = "whole", "level", "end"
 class Packer:
     """The windows of one task. Pieces are (document, start, ids, tokens of the document)."""
 
-    def __init__(self, window: int, first_sequence: int = 0, max_open: int = MAX_OPEN):
-        self.window, self.next, self.max_open = window, first_sequence, max_open
+    def __init__(self, window: int, first_sequence: int = 0):
+        self.window, self.next = window, first_sequence
         self.counts = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
         self.out: list[tuple] = []
@@ -139,7 +135,7 @@ class Packer:
     def _close(self, pieces: list, placed: str) -> None:
         offset = 0
         for doc, start, ids, tokens in pieces:
-            self.out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()) & 0xFFFFFFFF, tokens, self.next, offset, placed))
+            self.out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()) & 0xFFFFFFFF, tokens, self.next, offset, placed))
             offset += len(ids)
         self.next += 1
 
@@ -165,17 +161,16 @@ class Packer:
         if h:
             pieces = self.open[h].pop()
             self.counts[h] -= 1
-        pieces.append((doc, n - rest, ids[n - rest :].copy(), n))
+        tail = ids[n - rest :]
+        pieces.append((doc, n - rest, tail.astype(np.uint16 if tail.max() < 1 << 16 else np.uint32), n))
         if h + rest == w:
             self._close(pieces, LEVEL)
             return
         self.open[h + rest].append(pieces)
         self.counts[h + rest] += 1
-        if not h and self.counts.sum() > self.max_open:
-            self.fill_up(last=False)
 
-    def fill_up(self, last: bool) -> None:
-        """Closes the open windows: the fullest one takes what it lacks from the emptiest. One may be left; with last, it is closed too."""
+    def fill_up(self) -> None:
+        """Closes the open windows: the fullest one takes what it lacks from the emptiest. The last one is cut by powers of two."""
         waiting = [pieces for windows in reversed(self.open) for pieces in windows]
         self.open = [[] for _ in range(self.window + 1)]
         self.counts[:] = 0
@@ -197,11 +192,8 @@ class Packer:
                 level = self.window - room
                 if not room:
                     self._close(pieces, END)
-                elif last:
-                    self._powers_of_two(pieces, level)
                 else:
-                    self.open[level].append(pieces)
-                    self.counts[level] = 1
+                    self._powers_of_two(pieces, level)
                 return
             self._close(pieces, END)
 
@@ -244,7 +236,7 @@ def pack(docs: DataFrame, json_path: str, window: int = 1024, end_id: int = 0) -
                     packer.add(doc, ids[a:b])
                 yield emit()
         if schema is not None:
-            packer.fill_up(last=True)
+            packer.fill_up()
             yield emit()
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, t) for n, t in PIECE_COLUMNS)]))

@@ -166,7 +166,7 @@ def counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, model_path: str, limit: int) -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit to the columns of docs, which must hold ``text``; no shuffle."""
     added = ("n_bytes", "n_tokens", "over_limit")
-    names = [c for c in docs.columns if c not in added]
+    names = [c for c in docs.columns if c.lower() not in added]
     docs = docs.select(*names)
     text_at = names.index("text")
 

@@ -87,7 +87,7 @@ def test_packing_takes_the_least_sum_of_squares():
         assert sorted(levels) == [k for k in range(17) for _ in packer.open[k]] and packer.counts.tolist() == [levels.count(k) for k in range(17)]
     assert [r[0] for r in packer.out if r[7] == packing.LEVEL and r[6] + r[2] == 16] == closed and len(closed) > 100
     before, kept = len(packer.out), {p[0]: k for k, windows in enumerate(packer.open) for pieces in windows for p in pieces[:1]}
-    packer.fill_up(last=True)
+    packer.fill_up()
     ends = {}
     for r in packer.out[before:]:
         ends.setdefault(r[5], []).append(r)
@@ -97,16 +97,17 @@ def test_packing_takes_the_least_sum_of_squares():
     assert sum(x[0][0] in kept for x in ends.values()) >= 0.6 * len(kept)
 
 
-def test_packing_of_remainders_that_never_fit_stays_bounded():
-    packer = packing.Packer(1024, max_open=50)
-    for doc in range(500):
+def test_packing_of_remainders_that_never_fit():
+    """However many windows are open, the level array goes on, and ids are held in two bytes each."""
+    packer = packing.Packer(1024)
+    for doc in range(20_000):
         packer.add(doc, np.arange(700, dtype="<u4"))
-        assert packer.counts.sum() <= 50
-    packer.fill_up(last=True)
+    assert packer.counts[700] == 20_000 and not packer.out and packer.open[700][0][0][2].dtype == np.uint16
+    packer.fill_up()
     covered = {}
     for r in packer.out:
         covered[r[0]] = covered.get(r[0], 0) + r[2]
-    assert covered == dict.fromkeys(range(500), 700)
+    assert covered == dict.fromkeys(range(20_000), 700)
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 20])
