@@ -128,9 +128,20 @@ def egress_verdict(url: Column, mode: Column, domains: tuple[str, ...], addresse
     return refused.when(F.coalesce(F.size(own) < 1, F.lit(True)), "no_address").when(F.exists(own, lambda x: denied_address(x)), "denied_address").otherwise("allow")
 
 
+#: A scheme in any letters and what may follow it: any separators, as lenient parsers read ``http:h`` and ``http:\\\\h`` like ``http://h``,
+#: then what an authority can begin with. ``host`` refuses all that is not canonical, so such a URL is found and refused.
+URL = r"(?i)https?:(?=[\\/]*[\p{L}\p{N}\[%@:])[^\s\"'<>]+"
+#: A bare number behind the scheme, in prose: below 2**24 it is no address that is reached, and not taken for a URL.
+PORT_IN_PROSE = r"(?i)^https?:([1-9][0-9]{0,7})[).,;:!?\]]*$"
+
+
 def find_urls(text: Column) -> Column:
-    """Distinct URLs in a text, also with JSON's escaped slashes."""
-    return F.array_distinct(F.regexp_extract_all(F.replace(text, F.lit("\\/"), F.lit("/")), F.lit(r"https?://[^\s\"'<>\\)\]}]+"), F.lit(0)))
+    """Distinct URLs in a text, also with JSON's escaped slashes. Brackets and stops that end a sentence after a URL stay out of it."""
+    found = F.regexp_extract_all(F.replace(text, F.lit("\\/"), F.lit("/")), F.lit(URL), F.lit(0))
+    prose = lambda u: F.coalesce(F.regexp_extract(u, PORT_IN_PROSE, 1).try_cast("long") < 1 << 24, F.lit(False))
+    kept = F.filter(found, lambda u: ~(u.rlike(PORT_IN_PROSE) & prose(u)))
+    trimmed = lambda u: F.when(u.contains("["), F.regexp_replace(u, r"[)}.,;!?]+$", "")).otherwise(F.regexp_replace(u, r"[)\]}.,;!?]+$", ""))
+    return F.array_distinct(F.transform(kept, trimmed))
 
 
 def introduced(before: Column, after: Column) -> Column:

@@ -99,12 +99,6 @@ def mode_resolution(spark, d):
 _INVISIBLE = "​­⁦x﻿"
 
 
-def invisible(spark, d):
-    """Of the first 40 characters, as its SQL has it; invisible_texts reads all."""
-    t = F.concat(F.substring("text", 1, 40), F.lit(_INVISIBLE))
-    return docs(spark, d).select("doc_id", F.md5(T.strip_invisible(t)).alias("clean_md5"))
-
-
 def invisible_texts(spark, d):
     return docs(spark, d).select("doc_id", F.md5(T.strip_invisible(F.concat("text", F.lit(_INVISIBLE)))).alias("clean_md5"))
 
@@ -138,7 +132,7 @@ def confidences(spark, d):
     return f.groupBy("entity_type", D.confidence(F.col("entity_type"), F.col("matched")).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (assess_entity_counts, email_docs, ip_docs, entropy_tokens, secret_counts, luhn_numbers, iban_mod97, scrubbed, hmac_tokens, minted, restored, crypto_round_trip, mode_resolution, invisible, invisible_texts, watermarks, fingerprints, neutralized, percent_decoded, simple_tokens, confidences)}
+QUERIES = {f.__name__: f for f in (assess_entity_counts, email_docs, ip_docs, entropy_tokens, secret_counts, luhn_numbers, iban_mod97, scrubbed, hmac_tokens, minted, restored, crypto_round_trip, mode_resolution, invisible_texts, watermarks, fingerprints, neutralized, percent_decoded, simple_tokens, confidences)}
 
 _HMAC = lambda m: f"sha256(from_hex('{bytes(b ^ 0x5C for b in KEY.ljust(64, bytes(1))).hex()}') || from_hex(sha256(from_hex('{bytes(b ^ 0x36 for b in KEY.ljust(64, bytes(1))).hex()}') || encode({m}))))"
 _EMAIL = r"(?:^|[^A-Za-z0-9_])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,}(?:[^A-Za-z0-9_]|$)"
@@ -160,10 +154,9 @@ ORACLES = {
     "iban_mod97": "WITH n AS (SELECT c_custkey, 'DE' || lpad((c_custkey % 97)::VARCHAR, 2, '0') || lpad(c_custkey::VARCHAR, 18, '0') AS iban FROM customer) SELECT c_custkey, iban, ((iban[5:] || '1314' || iban[3:4])::HUGEINT % 97)::INT AS rest FROM n",
     "fingerprints": f"SELECT c_custkey, {_HMAC("sha256('key-' || c_custkey)")}[1:12] AS fingerprint FROM customer",
     "mode_resolution": """SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'HMAC' WHEN conv_id % 5 = 1 THEN 'SCRUB' WHEN role = 'user' AND turn % 2 = 0 THEN 'SCRUB' ELSE 'STRUCTURAL_TAG' END AS mode FROM conversations""",
-    "invisible": "SELECT doc_id, md5(regexp_replace(text[1:40], '[\\x{AD}\\x{34F}\\x{61C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{3164}\\x{FEFF}\\x{FFA0}\\x{E0000}-\\x{E007F}]', '', 'g') || 'x') AS clean_md5 FROM documents",
+    "invisible_texts": "SELECT doc_id, md5(regexp_replace(text, '[\\x{AD}\\x{34F}\\x{61C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{3164}\\x{FEFF}\\x{FFA0}\\x{E0000}-\\x{E007F}]', '', 'g') || 'x') AS clean_md5 FROM documents",
     "watermarks": "SELECT doc_id, 66 AS n_chars, md5(doc_id::VARCHAR)[1:16] AS decoded FROM documents",
     "neutralized": "SELECT conv_id, turn, md5(CASE WHEN turn % 2 = 1 OR role IN ('tool', 'function') THEN text || ' [SYSTEM_OVERRIDE_BLOCKED] now' ELSE text || ' SYSTEM  override now' END) AS text_md5 FROM conversations",
     "percent_decoded": "SELECT page_id, url || ' a+b%zz' AS decoded FROM pages",
-    "simple_tokens": r"SELECT doc_id, len(regexp_extract_all(text[1:1000000], ' ?[A-Za-z]+|\d{1,3}| ?[^\s\vA-Za-z\d]+|[\s\v]+'))::INT AS n_tokens FROM documents",
+    "simple_tokens": r"SELECT doc_id, len(regexp_extract_all(text, ' ?[A-Za-z]+|\d{1,3}| ?[^\s\vA-Za-z\d]+|[\s\v]+'))::INT AS n_tokens FROM documents",
 }
-ORACLES["invisible_texts"] = ORACLES["invisible"].replace("text[1:40]", "text")

@@ -103,11 +103,6 @@ def _two_parts(b):
     return s.select("item_id", F.element_at("cuts", 1).alias("cut"), F.array_join(splits.chunks(F.col("t"), F.col("cuts")), "|").alias("parts"))
 
 
-def two_part_chunks(spark, d):
-    """Of the first 30 characters, as its SQL has it; two_part_items cuts whole items."""
-    return _two_parts(table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 30).alias("t")))
-
-
 def two_part_items(spark, d):
     return _two_parts(table(spark, d, "benchmark").select("item_id", F.col("text").alias("t")))
 
@@ -168,7 +163,7 @@ def usage_totals(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n_requests"), F.round(F.sum("value"), 2).alias("total"))
 
 
-_ALL = (tool_verdicts, hosts, addresses_denied, network_join, ranges_joined, egress_verdicts, providers, system_hoisted, urls_introduced, role_collapse, key_roles, audit_chains, chain_roots, event_counts, two_part_chunks, two_part_items, three_part_counts, policy_leaks, twin_discordance, axis_arms, index_percentiles, sweep, sign_tests, sign_flip, holm_adjusted, usage_totals)
+_ALL = (tool_verdicts, hosts, addresses_denied, network_join, ranges_joined, egress_verdicts, providers, system_hoisted, urls_introduced, role_collapse, key_roles, audit_chains, chain_roots, event_counts, two_part_items, three_part_counts, policy_leaks, twin_discordance, axis_arms, index_percentiles, sweep, sign_tests, sign_flip, holm_adjusted, usage_totals)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _N = "(CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT))"
@@ -211,7 +206,7 @@ ORACLES = {
       r AS (SELECT user_id, q, sha256(h) AS root FROM e WHERE q = 1 UNION ALL SELECT e.user_id, e.q, sha256(r.root || e.h) FROM r JOIN e ON e.user_id = r.user_id AND e.q = r.q + 1)
       SELECT user_id, arg_max(root, q) AS root FROM r GROUP BY user_id""",
     "event_counts": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY event_type",
-    "two_part_chunks": "SELECT item_id, c::INT AS cut, t[1:c] || '|' || t[c + 1:] AS parts FROM (SELECT item_id, text[1:30] AS t, unnest(range(1, length(text[1:30]))) AS c FROM benchmark)",
+    "two_part_items": "SELECT item_id, c::INT AS cut, t[1:c] || '|' || t[c + 1:] AS parts FROM (SELECT item_id, text AS t, unnest(range(1, length(text))) AS c FROM benchmark)",
     "three_part_counts": "SELECT item_id, (length(text) - 1) * (length(text) - 2) / 2 > 6000 AS capped, CASE WHEN (length(text) - 1) * (length(text) - 2) / 2 > 6000 THEN 0 ELSE (length(text) - 1) * (length(text) - 2) // 2 END::INT AS n_splits FROM benchmark",
     "policy_leaks": "SELECT * FROM (VALUES ('chunk_local', 0::DOUBLE, 1::DOUBLE, 1::DOUBLE), ('retention', 0.0, 0.0, 0.0), ('passthrough', 1.0, 1.0, 0.0)) t(policy, leak_single, leak_adversarial, delta_frag)",
     "twin_discordance": """WITH c AS (SELECT o_custkey, bool_or(o_totalprice > 150000) FILTER (WHERE o_orderkey % 2 = 0) AS s, bool_or(o_totalprice > 150000) FILTER (WHERE o_orderkey % 2 <> 0) AS a FROM orders GROUP BY 1)
@@ -228,4 +223,3 @@ ORACLES = {
       SELECT n_regionkey, test, round(max(s) OVER (PARTITION BY n_regionkey ORDER BY p, test), 9) AS p_holm FROM r""",
     "usage_totals": "SELECT user_id, event_type, count(*) AS n_requests, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
 }
-ORACLES["two_part_items"] = ORACLES["two_part_chunks"].replace("text[1:30]", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.sources import records
-from palimpsest.streaming import state
+from palimpsest.streaming import json_text, replies, state
 
 
 def sse_parse(spark, d):
@@ -29,8 +29,36 @@ def usage_windows(spark, d):
     return u.select(seconds(F.col("w.start")).alias("window_start"), "user_id", "event_type", "n", F.round("total", 2).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (sse_parse, token_buckets, usage_windows)}
+def replies_restored(spark, d):
+    """Conversations as replies that come seven characters at a time: each turn is a choice, its words that begin with a capital
+    are the vault's tokens, and what the windows give out is put together again."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").cast("string").alias("stream_id"), "turn", "role", "text").where("text is not null")
+    words = F.explode(F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[A-Z]"))))
+    vault = c.select("stream_id", words.alias("token")).distinct().withColumn("original", F.concat(F.lit("<"), "token", F.lit(">")))
+    pieces = c.select("stream_id", "turn", "role", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,7}"), F.lit(0))).alias("at", "delta"), (F.ceil(F.length("text") / 7) - 1).alias("last"))
+    events = pieces.select("stream_id", (F.col("turn").cast("long") * 1_000_000 + F.col("at")).alias("seq"), F.col("turn").cast("int").alias("choice"), F.when(F.col("role") == "user", "reasoning").otherwise("content").alias("channel"), F.lit(None).cast("int").alias("tool"), "delta", (F.col("at") == F.col("last")).alias("final"))
+    out = replies.batch_replies(events, vault).groupBy("stream_id", "choice", "channel")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", "text"))), lambda x: x["text"]), "")
+    return out.agg(F.md5(text).alias("text_md5"), F.count(F.col("error")).alias("n_errors"))
+
+
+def click_values(spark, d):
+    """The values of each click's JSON properties, lexed from chunks of five characters."""
+    c = spark.read.parquet(f"{d}/clicks.parquet").where("props is not null").select(F.col("click_id").cast("string").alias("stream_id"), F.col("props")).groupBy("stream_id").agg(F.min("props").alias("props"))
+    chunks = c.select("stream_id", F.posexplode(F.regexp_extract_all("props", F.lit("(?s).{1,5}"), F.lit(0))).alias("seq", "delta")).withColumn("seq", F.col("seq").cast("long"))
+    v = json_text.values(json_text.batch_slices(chunks))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value", "text"))), lambda x: x["text"]), "|")
+    return v.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_values"), F.md5(joined).alias("values_md5"))
+
+
+QUERIES = {f.__name__: f for f in (replies_restored, click_values, sse_parse, token_buckets, usage_windows)}
 ORACLES = {
+    "replies_restored": r"""SELECT conv_id::VARCHAR AS stream_id, turn::INT AS choice, CASE WHEN role = 'user' THEN 'reasoning' ELSE 'content' END AS channel,
+      md5(regexp_replace(text, '(^|[^\p{L}\p{N}_])([A-Z][\p{L}\p{N}_]*)', '\1<\2>', 'g')) AS text_md5, 0 AS n_errors FROM conversations WHERE text <> ''""",
+    "click_values": r"""WITH c AS (SELECT click_id::VARCHAR AS stream_id, min(props) AS props FROM clicks WHERE props IS NOT NULL GROUP BY 1),
+      t AS (SELECT stream_id, regexp_extract_all(props, '"(?:[^"\\]|\\.)*"\s*:?|[^\s"{}\[\],:]+') AS x FROM c),
+      v AS (SELECT stream_id, list_transform(list_filter(x, lambda y: NOT (y[1:1] = '"' AND y[-1:] = ':')), lambda y: CASE WHEN y[1:1] = '"' THEN trim(y)[2:-2] ELSE y END) AS v FROM t)
+      SELECT stream_id, len(list_filter(v, lambda y: y <> '')) AS n_values, md5(array_to_string(list_filter(v, lambda y: y <> ''), '|')) AS values_md5 FROM v WHERE len(list_filter(v, lambda y: y <> '')) > 0""",
     "sse_parse": "SELECT item_id, 2 AS n_events, md5(translate(text, chr(13) || chr(10), '  ') || chr(10) || 'x|') AS events_md5 FROM benchmark",
     "usage_windows": "SELECT floor(epoch(ts) / 3600)::BIGINT * 3600 AS window_start, user_id, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
 }
