@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,16 +35,6 @@ def sign_test(plus: Column, minus: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), n))).otherwise(F.lit(1.0))
 
 
-def sign_flip_test(spark, differences: list[float]) -> DataFrame:
-    """Exact: the share of all 2^n sign patterns with a mean at least as far from 0. One task range for each part of the patterns."""
-    n = len(differences)
-    if n > 22:
-        raise ValueError("at most 22 differences")
-    bits = sum((F.when(F.col("id").bitwiseAND(1 << k) != 0, -x).otherwise(x) for k, x in enumerate(differences)), F.lit(0.0))
-    seen = abs(sum(differences)) - 1e-12
-    return spark.range(1 << n).agg((F.count_if(F.abs(bits) >= seen) / F.count(F.lit(1))).alias("p_value"))
-
-
 def holm(tests: DataFrame, family: str, p: str = "p") -> DataFrame:
     """Adjusted p values by Holm's step-down."""
     w = W.partitionBy(family).orderBy(p, "test")
@@ -61,18 +53,76 @@ def median_interval(n: int, confidence: float = 0.95) -> tuple[int, int] | None:
     return best
 
 
-def bootstrap_means(df: DataFrame, value: str, rounds: int, seed: int) -> DataFrame:
-    """(round, mean) of Poisson resamples: each row joins each round with a Poisson(1) weight from its own hash, so rows
-    are never collected and every partition adds partial sums."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("round"), F.col("_id")), F.lit(1 << 40)) / float(1 << 40)
-    cut, total, weight = [], 0.0, F.lit(0)
+def bca_intervals(df: DataFrame, by: str, value: str, key: str, level: float = 0.95, rounds: int = 2000, seed: int = 20260909) -> DataFrame:
+    """A bias-corrected and accelerated bootstrap interval of each group's mean, or why there is none.
+
+    Each row joins each resample with a Poisson(1) weight from a hash of its key, so rows are never collected: what leaves a
+    partition is one partial sum for each group and round. The acceleration is the jackknife's, which for a mean is the
+    skewness over 6 sqrt(n), from one pass of moments. Ends are order statistics of the resampled means. ``refused``:
+    ``degenerate`` where all values are equal (a point mass is no interval), ``one_sided`` where the means lie on one side of the
+    observed one. Nulls are left out; rows of one key are weighed alike.
+    """
+    rows = df.select(F.col(by).alias("_g"), F.col(value).cast("double").alias("_v"), F.col(key).alias("_id")).where("_v is not null")
+    moments = rows.groupBy("_g").agg(F.count("_v").alias("n"), F.avg("_v").alias("point"), F.skewness("_v").alias("_skew"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    moments = moments.withColumn("acceleration", F.when(F.col("_high") > F.col("_low"), F.col("_skew") / (6 * F.sqrt("n"))).otherwise(0.0))
+    drawn = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_w", poisson(F.xxhash64(F.lit(seed), "round", "_id")))
+    means = drawn.where("_w > 0").groupBy("_g", "round").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("mean"))
+    below = means.join(moments.select("_g", "point"), "_g").groupBy("_g").agg(F.count_if(F.col("mean") < F.col("point")).alias("_below"), F.count(F.lit(1)).alias("_rounds"))
+    ends = moments.join(below, "_g").withColumn("_ends", _bca_ends(level)("_below", "_rounds", "acceleration"))
+    ranked = means.withColumn("_r", F.row_number().over(W.partitionBy("_g").orderBy("mean", "round")) - 1)
+    wanted = ends.select("_g", F.col("_ends.low").alias("_a"), F.col("_ends.high").alias("_b"))
+    at = ranked.join(wanted, "_g").groupBy("_g").agg(F.max(F.when(F.col("_r") == F.col("_a"), F.col("mean"))).alias("low"), F.max(F.when(F.col("_r") == F.col("_b"), F.col("mean"))).alias("high"))
+    refused = F.when(F.col("_low") == F.col("_high"), "degenerate").when(F.col("_below").isin(0) | (F.col("_below") == F.col("_rounds")), "one_sided")
+    out = ends.join(at, "_g").withColumn("refused", refused)
+    end = lambda c: F.when(F.col("refused").isNull(), F.col(c)).alias(c)
+    return out.select(F.col("_g").alias(by), "n", "point", end("low"), end("high"), F.col("_ends.z0").alias("z0"), "acceleration", "refused")
+
+
+def poisson(hashed: Column) -> Column:
+    """A Poisson(1) draw, 12 at most, from a 64-bit hash."""
+    u, total, out = F.pmod(hashed, F.lit(1 << 40)) / float(1 << 40), 0.0, F.lit(0)
     for k in range(12):
         total += math.exp(-1) / math.factorial(k)
-        cut.append(total)
-    for c in cut:
-        weight = weight + (u >= c).cast("int")
-    rows = df.select(F.col(value).alias("_v"), F.col("id").alias("_id")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    return rows.withColumn("_w", weight).groupBy("round").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("mean"))
+        out = out + (u >= total).cast("int")
+    return out
+
+
+def _bca_ends(level: float):
+    """For a group's share of means below the point and its acceleration: z0 and the ranks of both ends."""
+
+    @F.pandas_udf("z0 double, low long, high long")
+    def ends(below: pd.Series, rounds: pd.Series, a: pd.Series) -> pd.DataFrame:
+        normal, out = NormalDist(), []
+        for b, n, accel in zip(below, rounds, a):
+            if not 0 < b < n:
+                out.append((None, None, None))
+                continue
+            z0 = normal.inv_cdf(b / n)
+
+            def rank(alpha):
+                z = z0 + normal.inv_cdf(alpha)
+                return min(n - 1, max(0, round(normal.cdf(z0 + z / (1 - accel * z)) * (n - 1))))
+
+            out.append((z0, rank((1 - level) / 2), rank((1 + level) / 2)))
+        return pd.DataFrame(out, columns=["z0", "low", "high"]).astype({"z0": "float64", "low": "Int64", "high": "Int64"})
+
+    return ends
+
+
+def sign_flips(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, p_value): exact, the share of all 2^n sign patterns of a group's differences whose mean is at least as far from 0.
+
+    At most 22 differences a group, else an error; the patterns are rows, made in two steps, and summed up where they are.
+    """
+    groups = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("_x"))
+    total = lambda p: F.aggregate(F.transform("_x", lambda x, i: F.when(F.call_function("shiftright", p, i).bitwiseAND(1) == 1, -x).otherwise(x)), F.lit(0.0), lambda acc, x: acc + x)
+    n = F.when(F.size("_x") <= 22, F.size("_x")).otherwise(F.raise_error(F.lit("at most 22 differences")).cast("int"))
+    half = F.floor(n / 2).cast("int")
+    high = groups.withColumn("n", n).withColumn("_high", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), half) - 1)))
+    both = high.withColumn("_low", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("n") - half) - 1)))
+    both = both.withColumn("_p", F.col("_low") + F.call_function("shiftleft", F.col("_high"), F.col("n") - half))
+    far = F.abs(total(F.col("_p"))) >= F.abs(total(F.lit(0))) - 1e-12
+    return both.groupBy(by).agg(F.max("n").alias("n"), (F.count_if(far) / F.count(F.lit(1))).alias("p_value"))
 
 
 def discordance(cases: DataFrame, pair: list[str], arm: str, leaked: str = "leaked") -> DataFrame:

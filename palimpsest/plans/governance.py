@@ -151,7 +151,12 @@ def sign_tests(spark, d):
 
 
 def sign_flip(spark, d):
-    return stats.sign_flip_test(spark, [0.5, -0.25, 1.0, 2.0, 0.125, -0.5, 3.0, 0.75, 1.5, -1.0])
+    """Of each market segment, the differences by region and half of its customers' balances: an exact test that their mean is 0."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    c = table(spark, d, "customer").join(n, "c_nationkey")
+    half = F.avg(F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal"))) - F.avg(F.when(F.col("c_custkey") % 2 == 1, F.col("c_acctbal")))
+    d_ = c.groupBy("c_mktsegment", "n_regionkey").agg(F.round(half, 2).alias("x"))
+    return stats.sign_flips(d_, "c_mktsegment", "x")
 
 
 def holm_adjusted(spark, d):
@@ -217,8 +222,9 @@ ORACLES = {
     "sign_tests": """WITH n AS (SELECT n_nationkey, n_nationkey + 3 AS plus, n_nationkey % 5 AS minus FROM nation), k AS (SELECT *, unnest(range(0, least(plus, minus) + 1)) AS i FROM n),
       c AS (SELECT n_nationkey, any_value(plus + minus) AS m, sum(factorial((plus + minus)::INT)::DOUBLE / (factorial(i::INT)::DOUBLE * factorial((plus + minus - i)::INT)::DOUBLE)) AS t FROM k GROUP BY n_nationkey)
       SELECT n_nationkey, round(least(1.0, 2 * t / pow(2.0, m)), 6) AS p FROM c""",
-    "sign_flip": """WITH v AS (SELECT [0.5, -0.25, 1.0, 2.0, 0.125, -0.5, 3.0, 0.75, 1.5, -1.0] AS x), p AS (SELECT list_sum(list_transform(range(1, 11), lambda k: CASE WHEN (i >> (k - 1)) & 1 = 1 THEN -x[k] ELSE x[k] END)) AS s FROM v, range(1024) t(i))
-      SELECT count(*) FILTER (WHERE abs(s) >= 7.125 - 1e-12) / count(*) AS p_value FROM p""",
+    "sign_flip": """WITH d AS (SELECT c_mktsegment, n_regionkey, round(avg(c_acctbal) FILTER (WHERE c_custkey % 2 = 0) - avg(c_acctbal) FILTER (WHERE c_custkey % 2 = 1), 2) AS x FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+      v AS (SELECT c_mktsegment, list(x) AS x, count(*)::INT AS n FROM d WHERE x IS NOT NULL GROUP BY 1), p AS (SELECT c_mktsegment, n, list_sum(x) AS t, x, unnest(range(0, 1 << n)) AS i FROM v)
+      SELECT c_mktsegment, any_value(n) AS n, count(*) FILTER (WHERE abs(list_sum(list_transform(range(1, n + 1), lambda k: CASE WHEN (i >> (k - 1)) & 1 = 1 THEN -x[k] ELSE x[k] END))) >= abs(t) - 1e-12) / count(*) AS p_value FROM p GROUP BY 1""",
     "holm_adjusted": """WITH n AS (SELECT n_regionkey, n_nationkey AS test, (n_nationkey * 7 % 25) / 500.0 AS p FROM nation), r AS (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY n_regionkey) - row_number() OVER (PARTITION BY n_regionkey ORDER BY p, test) + 1)) AS s FROM n)
       SELECT n_regionkey, test, round(max(s) OVER (PARTITION BY n_regionkey ORDER BY p, test), 9) AS p_holm FROM r""",
     "usage_totals": "SELECT user_id, event_type, count(*) AS n_requests, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
