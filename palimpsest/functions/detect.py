@@ -83,10 +83,10 @@ def folded_spans(text: Column, folded: Column, types: tuple[str, ...] | None = N
     return F.transform(tier1(F.when(folded != text, folded), types, custom), own)
 
 
-def with_spans(df: DataFrame, text: str = "text", types: tuple[str, ...] | None = None, secrets: bool = True, custom: tuple[tuple[str, str], ...] = (), out: str = "spans", encoded: bool = False, table: tuple[str, str] | None = None) -> DataFrame:
+def with_spans(df: DataFrame, text: str = "text", types: tuple[str, ...] | None = None, secrets: bool = True, custom: tuple[tuple[str, str], ...] = (), out: str = "spans", encoded: bool | None = None, table: tuple[str, str] | None = None) -> DataFrame:
     """df with its resolved, completed spans in a column. The text is normalised first and is so in the result, which the spans
-    count in; patterns are tried on it and on its copy with look-alikes folded (by a table, if given). With encoded, runs whose
-    decoding holds a value are spans too. Each step is exploded from an array of one, or the optimizer would copy the whole of
+    count in; patterns are tried on it and on its copy with look-alikes folded (by a table, if given). With encoded (so if
+    no types are chosen), runs whose decoding holds a value are spans too. Each step is exploded from an array of one, or the optimizer would copy the whole of
     it into every place that uses it."""
     from palimpsest.functions import encoded as E
     from palimpsest.functions import text as T
@@ -99,7 +99,7 @@ def with_spans(df: DataFrame, text: str = "text", types: tuple[str, ...] | None
     found = F.concat(tier1(t, types, custom), F.col("_folded"))
     if secrets:
         found = F.concat(found, secret_spans(t))
-    if encoded:
+    if types is None if encoded is None else encoded:
         d = E.with_entity_spans(d.withColumn("_encoded", once(F.concat(E.base64_spans(t), E.percent_spans(t)))), text, "_entities")
         found = F.concat(found, F.col("_encoded"), F.col("_entities"))
     resolved = d.withColumn("_resolved", once(resolve(found)))

@@ -23,8 +23,9 @@ from palimpsest.functions import text as T
 # Candidates and bounds.
 LIMIT, EDGE, ROUNDS, SHORTEST = 8192, 256, 3, 6
 BASE64 = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{8,}={0,2}(?![A-Za-z0-9+/=_-])"
-PERCENT = r"[^\s\"'<>{}\[\],;()]*%[0-9A-Fa-f]{2}[^\s\"'<>{}\[\],;()]*"
-ENTITY = "[^ \\t\\r\\n\\f\\x0B\"'<>{}\\[\\](),]*&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});[^ \\t\\r\\n\\f\\x0B\"'<>{}\\[\\](),]*"
+# Both begin at a run's beginning only, or a long run without an escape would be read once for each of its characters.
+PERCENT = r"(?<![^\s\"'<>{}\[\],;()])[^\s\"'<>{}\[\],;()]*?%[0-9A-Fa-f]{2}[^\s\"'<>{}\[\],;()]*"
+ENTITY = "(?<![^ \\t\\r\\n\\f\\x0B\"'<>{}\\[\\](),])[^ \\t\\r\\n\\f\\x0B\"'<>{}\\[\\](),]*?&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});[^ \\t\\r\\n\\f\\x0B\"'<>{}\\[\\](),]*"
 
 
 def holds_value(text: Column) -> Column:

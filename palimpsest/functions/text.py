@@ -73,9 +73,17 @@ def neutralize(role: Column, text: Column) -> Column:
     return F.when(role.isin("tool", "function"), F.regexp_replace(text, INJECTION, "[SYSTEM_OVERRIDE_BLOCKED]")).otherwise(text)
 
 
-def block_images(text: Column) -> Column:
-    """Markdown images whose address could carry data out."""
-    return F.regexp_replace(text, r"!\[[^\]]*\]\(https?://[^)\s]*(?:\?|leak)[^)\s]*\)", "[IMAGE_EXFILTRATION_BLOCKED]")
+def block_images(text: Column, originals: Column | None = None) -> Column:
+    """Markdown images whose address could carry data out: with a query, with ``leak`` in it, or with one of a session's ``originals`` (an
+    array) of at least four characters. The address goes, the image's description stays."""
+    image = r"!\[(.*?)\]\((https?://[^\s)]+)\)"
+    found = F.regexp_extract_all(text, F.lit(image), F.lit(2))
+    known = F.filter(F.coalesce(originals if originals is not None else F.lit(None), F.array().cast("array<string>")), lambda o: F.length(o) >= 4)
+    carries = lambda u: u.contains("?") | F.contains(F.lower(u), F.lit("leak")) | F.exists(known, lambda o: F.contains(u, o))
+    between, names = F.split(text, image, -1), F.regexp_extract_all(text, F.lit(image), F.lit(1))
+    rewritten = F.transform(F.arrays_zip(names.alias("name"), found.alias("url")), lambda x: F.concat(F.lit("!["), x["name"], F.lit("]("), F.when(carries(x["url"]), F.lit("[IMAGE_EXFILTRATION_BLOCKED]")).otherwise(x["url"]), F.lit(")")))
+    joined = F.array_join(F.flatten(F.zip_with(between, rewritten, lambda p, r: F.array(p, F.coalesce(r, F.lit(""))))), "")
+    return F.when(text.contains("!["), joined).otherwise(text)
 
 
 def json_body(text: Column) -> Column:

@@ -174,6 +174,16 @@ def collapse_roles(turns: DataFrame, conversation: str = "conv_id", order: str =
     return blocks.join(system, conversation, "left")
 
 
+def user_first(blocks: DataFrame, conversation: str = "conv_id", opening: str = "Hello") -> DataFrame:
+    """Messages of ``collapse_roles`` as a provider takes them whose conversations begin with the user: where another role begins,
+    an ``opening`` of the user comes before it, as block 0. Roles other than user and assistant count as the user's."""
+    role = F.when(F.col("role") == "assistant", "assistant").otherwise("user")
+    named = blocks.withColumn("role", role)
+    lone = named.where("block = 1 and role = 'assistant'")
+    first = lone.withColumn("block", F.lit(0).cast(named.schema["block"].dataType)).withColumn("role", F.lit("user")).withColumn("n_turns", F.lit(0).cast(named.schema["n_turns"].dataType)).withColumn("text", F.lit(opening))
+    return named.unionByName(first)
+
+
 def role_of_key(keys: DataFrame, roles: DataFrame, default: str | None) -> DataFrame:
     """keys(key_id) with their role; without one the default, without that the key fails closed."""
     return keys.join(roles, "key_id", "left").withColumn("role", F.coalesce("role", F.lit(default), F.lit("FAIL_CLOSED")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import hmac_sha256
 
-TOKEN = r"\[([A-Z][A-Z_]*)_(\d+)\]"
+TOKEN = r"\[([A-Z][A-Z0-9_]*)_(\d+)\]"
 
 
 def splice(text: Column, spans: Column, token) -> Column:

@@ -81,7 +81,7 @@ def _restore(node, visit: Visit, depth: int = 0):
         raise ValueError("too_deep")
     if isinstance(node, dict):
         if set(node) == {HELD, CIPHER}:
-            plain = visit(node[CIPHER], "[]")
+            plain = visit(node[CIPHER], node[HELD]) if isinstance(node[CIPHER], str) and isinstance(node[HELD], str) else None
             return node if plain is None else plain
         out = {k: _restore(v, visit, depth + 1) for k, v in node.items() if not k.startswith(SIDE)}
         for k, v in node.items():
@@ -145,11 +145,11 @@ def _assembled(walk, rows: DataFrame, edits: DataFrame, key: str, payload: str,
 
 def mutate(payloads: DataFrame, cipher_key: Column, seed: bytes, key: str = "payload_id", payload: str = "payload") -> DataFrame:
     """payloads with ``mutated`` and ``error``. A string that holds a value is sealed as a whole, and shown with a stand-in
-    for each of its values. ``cipher_key`` is a column of payloads (see session_key)."""
+    for each of its values. A cipher text opens for its field alone, an array element's for its stand-in. ``cipher_key`` is a column of payloads (see session_key)."""
     taken = payloads.select(key, cipher_key.alias("_key"), F.explode(F.array(_leaves(_mutate)(F.col(payload)))).alias("_l"))
     leaf = D.with_spans(taken.select(key, "_key", F.explode("_l.leaves").alias("x")).select(key, "_key", "x.*"), "value").where(F.size("spans") > 0)
     fake = M.splice(F.col("value"), F.col("spans"), lambda s: stand_in(hmac_sha256(seed, F.concat_ws("\x1f", s["entity_type"], s["matched"])), s["entity_type"]))
-    edits = leaf.select(key, "n", fake.alias("plain"), seal(F.col("value"), F.col("_key"), F.col("field")).alias("cipher"))
+    edits = leaf.select(key, "n", fake.alias("plain"), seal(F.col("value"), F.col("_key"), F.when(F.col("field") == "[]", fake).otherwise(F.col("field"))).alias("cipher"))
     return _assembled(_mutate, payloads, edits, key, payload, "mutated")
 
 
