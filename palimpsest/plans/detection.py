@@ -165,3 +165,5 @@ ORACLES = {
     "percent_decoded": "SELECT page_id, url || ' a+b%zz' AS decoded FROM pages",
     "simple_tokens": r"SELECT doc_id, len(regexp_extract_all(text, ' ?[A-Za-z]+|\d{1,3}| ?[^\s\vA-Za-z\d]+|[\s\v]+'))::INT AS n_tokens FROM documents",
 }
+ORACLES["hmac_tokens"] = rf"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '(^|[^A-Za-z0-9_])([A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9.-]{{1,255}}\.[A-Za-z]{{2,}})', 2)) AS value FROM documents)
+  SELECT doc_id, value, {_HMAC("value")} AS digest FROM e"""
