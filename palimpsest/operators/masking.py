@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from palimpsest.functions.text import hmac_sha256
 
@@ -33,17 +34,26 @@ def keyed(text: Column, spans: Column, key: bytes) -> Column:
     return splice(text, spans, lambda s: F.concat(F.lit("["), s["entity_type"], F.lit("_"), hmac_sha256(key, s["matched"]), F.lit("]")))
 
 
-def mint(values: DataFrame, session: str = "session", order: tuple[str, ...] = ("turn", "place")) -> DataFrame:
+def mint(values: DataFrame, session: str = "session", span: int = 1000) -> DataFrame:
     """values(session, entity_type, original, turn, start): the vault (session, original, entity_type, ordinal, token).
 
     A value has one token in its session, of the type it was first seen with; a
     turn's last span comes first. One row for each value is left before the
-    window, so a value seen often costs nothing there.
+    windows, so a value seen often costs nothing there. Ordinals are counted inside
+    runs of ``span`` turns, and the runs' sizes summed up before them, so a session
+    of very many turns is spread over tasks; turns that are no numbers are one run.
     """
     seen = values.withColumn("_at", F.struct("turn", (-F.col("start")).alias("start")))
     first = seen.groupBy(session, "original").agg(F.min("_at").alias("_at"), F.min_by("entity_type", "_at").alias("entity_type"))
-    ordinal = F.row_number().over(W.partitionBy(session, "entity_type").orderBy("_at", "original"))
-    return first.withColumn("ordinal", ordinal).select(session, "original", "entity_type", "ordinal", F.format_string("[%s_%d]", "entity_type", "ordinal").alias("token"))
+    numbered = isinstance(values.schema["turn"].dataType, NumericType)
+    first = first.withColumn("_run", F.floor(F.coalesce(F.col("_at.turn"), F.lit(-1)) / span) if numbered else F.lit(0))
+    sizes = first.groupBy(session, "entity_type", "_run").count()
+    before = sizes.withColumn("_before", F.sum("count").over(W.partitionBy(session, "entity_type").orderBy("_run")) - F.col("count")).drop("count")
+    inside = F.row_number().over(W.partitionBy(session, "entity_type", "_run").orderBy("_at", "original"))
+    keys = [session, "entity_type", "_run"]
+    both = first.withColumn("_inside", inside).alias("f").join(before.alias("b"), [F.col(f"f.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]).select(*[F.col(f"f.{c}") for c in (session, "original", "entity_type", "_inside")], "_before")
+    counted = both.withColumn("ordinal", (F.col("_inside") + F.col("_before")).cast("int"))
+    return counted.select(session, "original", "entity_type", "ordinal", F.format_string("[%s_%d]", "entity_type", "ordinal").alias("token"))
 
 
 def encrypt(value: Column, key: str, aad: Column) -> Column:

@@ -16,11 +16,24 @@ def rate(flag: Column) -> Column:
     return F.round(F.coalesce(F.avg(flag.cast("double")), F.lit(0.0)), 4)
 
 
-def at_index(values: Column, quantile: float, rounding: str) -> Column:
-    """Percentile by index, floor(q * n) or round(q * (n - 1)), of a collected array; values are not interpolated."""
-    s, n = F.sort_array(values), F.size(values)
-    i = F.least(n - 1, F.floor(F.lit(quantile) * n).cast("int")) if rounding == "floor" else F.bround(F.lit(quantile) * (n - 1), 0).cast("int")
-    return F.when(n > 0, F.get(s, i))
+def index_percentiles(df: DataFrame, by: str, value: str, wanted: dict[str, tuple[float, str]], ranges: int = 1024) -> DataFrame:
+    """(by, *wanted): percentiles by index, floor(q * n) or round(q * (n - 1)), which are values of the group and not interpolated.
+
+    wanted: name to (q, ``floor`` or ``round``). Values are counted by equal ranges of their group first, with partial sums; only
+    the one range that holds a rank is then put in order, by its distinct values. Nulls are left out.
+    """
+    rows = df.select(F.col(by).alias("_g"), F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    ends = rows.groupBy("_g").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    share = (F.col("_v") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    place = lambda d: d.join(ends, "_g").withColumn("_range", F.least(F.lit(ranges - 1), F.floor(F.coalesce(share, F.lit(0.0)) * ranges)))
+    index = lambda q, kind: F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n"))) if kind == "floor" else F.bround(F.lit(q) * (F.col("_n") - 1), 0).cast("long")
+    counts = place(rows).groupBy("_g", "_range").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    counts = counts.withColumn("_below", F.sum("_c").over(W.partitionBy("_g").orderBy("_range")) - F.col("_c"))
+    asked = counts.select("_g", "_range", "_below", "_c", F.inline(F.array(*[F.struct(F.lit(name).alias("_name"), index(q, kind).alias("_i")) for name, (q, kind) in wanted.items()]))).where("_i >= _below and _i < _below + _c")
+    inside = place(rows).select("_g", "_range", "_v").join(asked.select("_g", "_range").distinct(), ["_g", "_range"], "left_semi").groupBy("_g", "_range", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    inside = inside.withColumn("_to", F.sum("_m").over(W.partitionBy("_g", "_range").orderBy("_v")))
+    found = asked.join(inside, ["_g", "_range"]).where("_i >= _below + _to - _m and _i < _below + _to")
+    return found.groupBy(F.col("_g").alias(by)).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in wanted])
 
 
 def choose(n: Column, k: Column) -> Column:

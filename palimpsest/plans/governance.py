@@ -136,8 +136,7 @@ def axis_arms(spark, d):
 
 
 def index_percentiles(spark, d):
-    o = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.collect_list("o_totalprice").alias("v"))
-    return o.select("o_orderpriority", stats.at_index(F.col("v"), 0.95, "floor").alias("p95_floor"), stats.at_index(F.col("v"), 0.5, "round").alias("p50_round"))
+    return stats.index_percentiles(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", {"p95_floor": (0.95, "floor"), "p50_round": (0.5, "round")})
 
 
 def sweep(spark, d):

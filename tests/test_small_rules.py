@@ -43,3 +43,15 @@ def test_array_elements_open_for_their_own_stand_in_only(spark):
     a, b = node["to"]
     a["_shield_ctx"], b["_shield_ctx"] = b["_shield_ctx"], a["_shield_ctx"]
     assert back(node)["to"] == [a, b]
+
+
+def test_ordinals_do_not_depend_on_the_runs(spark):
+    import random
+
+    from palimpsest.operators import masking
+
+    rng = random.Random(2)
+    rows = [("s" if rng.random() < 0.7 else None, rng.choice(["EMAIL", "PHONE"]), f"v{rng.randrange(80)}", rng.choice([None, *range(40)]), rng.randrange(9)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "session string, entity_type string, original string, turn long, start int")
+    one, many = (sorted((r.session or "", r.original, r.token) for r in masking.mint(df, span=s).collect()) for s in (10_000, 3))
+    assert one == many and len({r[::2] for r in one}) == len(one)
