@@ -77,10 +77,12 @@ def tier1(text: Column, types: tuple[str, ...] | None = None, custom: tuple[tupl
     return F.flatten(F.array(*[pattern_spans(text, n, p, P.PRIORITY[n]) for n, p in chosen], *[pattern_spans(text, n, p, 100 + k) for k, (n, p) in enumerate(custom)]))
 
 
-def folded_spans(text: Column, folded: Column, types: tuple[str, ...] | None = None, custom: tuple[tuple[str, str], ...] = ()) -> Column:
-    """Spans that the patterns find in a text whose look-alikes are folded, one character for one; they name the text's own."""
+def spans_of_both(text: Column, folded: Column, types: tuple[str, ...] | None = None, custom: tuple[tuple[str, str], ...] = ()) -> Column:
+    """Spans that the patterns find in a text and, where it differs, in its copy with look-alikes folded, one character for one; all
+    name the text's own. The patterns stand in the plan once, for both."""
     own = lambda s: F.struct(s["start"], s["end"], s["entity_type"], F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("matched"), s["priority"])
-    return F.transform(tier1(F.when(folded != text, folded), types, custom), own)
+    both = F.array_compact(F.array(text, F.when(folded != text, folded)))
+    return F.transform(F.flatten(F.transform(both, lambda t: tier1(t, types, custom))), own)
 
 
 def with_spans(df: DataFrame, text: str = "text", types: tuple[str, ...] | None = None, secrets: bool = True, custom: tuple[tuple[str, str], ...] = (), out: str = "spans", encoded: bool | None = None, table: tuple[str, str] | None = None) -> DataFrame:
@@ -95,8 +97,7 @@ def with_spans(df: DataFrame, text: str = "text", types: tuple[str, ...] | None
     columns = df.columns
     t = F.col(text)
     d = df.withColumn(text, once(T.normalize(t)))
-    d = d.withColumn("_folded", once(folded_spans(t, T.fold_look_alikes(t, table), types, custom)))
-    found = F.concat(tier1(t, types, custom), F.col("_folded"))
+    found = spans_of_both(t, T.fold_look_alikes(t, table), types, custom)
     if secrets:
         found = F.concat(found, secret_spans(t))
     if types is None if encoded is None else encoded:
