@@ -79,20 +79,22 @@ def test_order_of_draining_and_failures():
 
 def test_stream_and_batch_agree(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     text = TEXTS[0]
     rows = []
-    for s in range(3):
+    for s in range(2):
         at = 0
         for k, piece in enumerate(text[i : i + 5 + s] for i in range(0, len(text), 5 + s)):
             rows.append((f"s{s}", at, k % 2, "content" if s else "tool", None if s else 4, piece, False))
             at += 1
         rows.append((f"s{s}", at, None, None, None, None, True))
     rows += [("many", k, k, "content", None, "May", False) for k in range(5)] + [("open", 0, 0, "content", None, "Maya", False)]
-    vault = spark.createDataFrame([(s, t, o) for s in ("s0", "s1", "s2", "many", "open") for t, o in VAULT.items()], "stream_id string, token string, original string")
+    vault = spark.createDataFrame([(s, t, o) for s in ("s0", "s1", "many", "open") for t, o in VAULT.items() if t[:1] in "[M" and t], "stream_id string, token string, original string")
     rules = R.Rules(max_windows=4)
     path = str(tmp_path / "in")
-    for k in range(0, len(rows), 9):
-        spark.createDataFrame(rows[k : k + 9], R.EVENT).coalesce(1).write.mode("append").parquet(path)
+    for k in range(0, len(rows), 16):
+        spark.createDataFrame(rows[k : k + 16], R.EVENT).coalesce(1).write.mode("append").parquet(path)
     joined = lambda found: {k: "".join(t for *_, t in sorted(v)) for k, v in found.items()}
 
     def by_channel(out):
@@ -114,3 +116,4 @@ def test_stream_and_batch_agree(spark, tmp_path):
     q.awaitTermination(240)
     got, errors = by_channel(spark.table("replies").collect())
     assert got == {k: v for k, v in batch.items() if k[0].startswith("s")} and errors == {"many": "windows"}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
