@@ -113,7 +113,7 @@ def test_stream_and_batch_agree(spark, tmp_path):
     assert {k: v for k, v in batch.items() if k[0].startswith("s")} == want and batch[("open", 0, "content", None)] == "Zoë" and errors == {"many": "windows"}
     stream = spark.readStream.schema(R.EVENT).option("maxFilesPerTrigger", 1).parquet(path)
     q = R.stream_replies(stream, vault, rules).writeStream.format("memory").queryName("replies").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(240)
+    q.awaitTermination(900)  # each access to the state is a call of its own: minutes
     got, errors = by_channel(spark.table("replies").collect())
     assert got == {k: v for k, v in batch.items() if k[0].startswith("s")} and errors == {"many": "windows"}
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
