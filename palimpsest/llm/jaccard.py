@@ -43,7 +43,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,6 +221,57 @@ def _set_rows(batches, rule: Rule):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(node), pa.array(n), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "keys"])
 
 
+#: Kinds of what _run_rows makes: a row of a tile of several nodes; a node alone with its tile in the task, whose tile may go on in
+#: the next task; a tile that may.
+_SURE, _ALONE, _EDGE = 0, 1, 2
+
+
+def _run_rows(batches):
+    """(key, node), ascending, to (key, node, kind). Only a task's first and last key can go on elsewhere; equal rows are one."""
+    first = last = None  # the first key; the last row, not yet told, whether its key came before it, too
+    for batch in batches:
+        key, node = (batch.column(i).to_numpy() for i in (0, 1))
+        if not len(key):
+            continue
+        before = False
+        if last is None:
+            first = int(key[0])
+        else:
+            key, node, before = np.append(np.int64(last[0]), key), np.append(np.int64(last[1]), node), last[2]
+        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+        key, node = key[new], node[new]
+        up = np.append(before, key[1:] == key[:-1])
+        shared_ = up | np.append(key[:-1] == key[1:], False)
+        last = int(key[-1]), int(node[-1]), bool(up[-1])
+        shared_[-1] = False  # told with the next batch
+        yield _kinds(key[shared_], node[shared_], _SURE)
+        if len(key) > 1 and key[0] == first and not shared_[0]:
+            yield _kinds(key[:1], node[:1], _ALONE)
+    if last is not None:
+        key, node, up = np.array(last[:1]), np.array(last[1:2]), last[2]
+        yield _kinds(key, node, _SURE if up else _ALONE)
+        edges = np.unique([first, last[0]])
+        yield _kinds(edges, np.zeros_like(edges), _EDGE)
+
+
+def _kinds(key: np.ndarray, node: np.ndarray, kind: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(np.full(len(key), kind, np.int32))], names=["key", "node", "kind"])
+
+
+def shared_tiles(postings: DataFrame) -> DataFrame:
+    """(node, key) to the (key, node) of the keys of several nodes, each once.
+
+    One exchange by ranges of (key, node): a tile of very many nodes lies in many
+    tasks, each of which compares neighbours. What a task cannot tell, of its
+    first and last key, is settled by the keys that two tasks have at their ends.
+    """
+    told = shared.keep(postings.select("key", "node").repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_run_rows, "key long, node long, kind int"), "tile-runs")
+    # At most two rows from each task.
+    cut = told.where(F.col("kind") == _EDGE).groupBy("key").agg(F.count(F.lit(1)).alias("tasks")).where("tasks > 1").select("key")
+    alone = told.where(F.col("kind") == _ALONE).join(F.broadcast(cut), "key", "left_semi")
+    return told.where(F.col("kind") == _SURE).unionByName(alone).select("key", "node")
+
+
 def _array_rows(batches, rule: Rule):
     """(text, node, copies) to (node, n, copies, bits, shingles, tiles) of the texts that have that node; the last two ascending."""
     for batch in batches:
@@ -448,13 +498,9 @@ def candidates(docs: DataFrame, rule: Rule) -> Candidates:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     made = shared.keep(docs.mapInArrow(_under(_set_rows, rule), schema), "sets-keys")
     sets = shared.keep(made.drop("keys"), "sets")
-    # One exchange of the postings finds the tiles of several nodes and their rows.
-    tile = W.partitionBy("key")
-    postings = made.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    rows = postings.withColumn("lo", F.min("node").over(tile)).withColumn("hi", F.max("node").over(tile)).where("lo <> hi").select("key", "node")
-    rows = shared.keep(rows.distinct(), "tiles-all")
+    rows = shared_tiles(made.where("keys is not null").select("node", F.explode("keys").alias("key")))
     shared.drop(made)
-    del made, postings
+    del made
     shared.release(docs.sparkSession)
     who = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"who{k}") for k in (1, 2)]
     one = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *who).groupBy("members", "who1", "who2").agg(F.min("key").alias("key")).select("key")

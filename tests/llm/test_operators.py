@@ -221,6 +221,26 @@ def test_one_large_near_group_equals_brute_force(spark):
     assert got == dict(enumerate(label.tolist()))
 
 
+def test_tiles_of_several_nodes_over_many_tasks(spark):
+    rng = random.Random(3)
+    named = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k) for k in named}
+    try:
+        for k, v in named.items():
+            spark.conf.set(k, v)
+        for keys, hot in ((400, 0), (30, 0), (50, 600), (1, 300), (0, 0)):
+            rows = [(rng.randrange(-9, 9), rng.randrange(-keys, keys)) for _ in range(4 * keys)] + [(rng.randrange(400), 5) for _ in range(hot)]
+            rows += [(k, 1000 + k) for k in range(40 if keys else 0)]  # tiles of one node
+            of = {}
+            for node, key in rows:
+                of.setdefault(key, set()).add(node)
+            got = [tuple(r) for r in jaccard.shared_tiles(spark.createDataFrame(rows, "node long, key long").repartition(5)).collect()]
+            assert sorted(got) == sorted((k, n) for k, nodes in of.items() if len(nodes) > 1 for n in nodes)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def thue_morse(n):
     return "".join("ab"[bin(i).count("1") & 1] for i in range(n)), "".join("ba"[bin(i).count("1") & 1] for i in range(n))
 
