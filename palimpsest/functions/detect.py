@@ -17,8 +17,8 @@ from palimpsest.functions import patterns as P
 SPAN = "array<struct<start:int,end:int,entity_type:string,matched:string,priority:int>>"
 
 
-def pattern_spans(text: Column, name: str, pattern: str, priority: int) -> Column:
-    """Spans of one pattern: lengths of what lies between the matches give the offsets, in code points."""
+def pattern_spans(text: Column, name: str, pattern: str, priority: int, wanted: Column | None = None) -> Column:
+    """Spans of one pattern, where it is wanted: lengths of what lies between the matches give the offsets, in code points."""
     # Zipped before the fold, so that each side is computed once for each text.
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, h: F.struct(F.length(p).alias("gap"), h.alias("hit")))
     start = lambda acc, x: acc["at"] + x["gap"]
@@ -28,7 +28,7 @@ def pattern_spans(text: Column, name: str, pattern: str, priority: int) -> Colum
     )
     folded = F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
     gate = P.GATES.get(name)
-    maybe = text.isNotNull()
+    maybe = text.isNotNull() if wanted is None else text.isNotNull() & wanted
     if isinstance(gate, str):
         maybe &= text.rlike(gate)
     elif gate:
@@ -71,24 +71,33 @@ def complete_digit_runs(text: Column, spans: Column) -> Column:
     return F.transform(spans, grow)
 
 
-def tier1(text: Column, types: tuple[str, ...] | None = None, custom: tuple[tuple[str, str], ...] = ()) -> Column:
-    """All spans of the chosen built-in patterns (all by default) and of custom (name, pattern) rules, which come last."""
-    chosen = [(n, p) for n, p in P.BUILT_IN if types is None or n in types]
-    return F.flatten(F.array(*[pattern_spans(text, n, p, P.PRIORITY[n]) for n, p in chosen], *[pattern_spans(text, n, p, 100 + k) for k, (n, p) in enumerate(custom)]))
+def tier1(text: Column, types: tuple[str, ...] | None = None, custom: tuple[tuple[str, str], ...] = (), allowed: Column | None = None) -> Column:
+    """All spans of the chosen built-in patterns (all by default) and of custom (name, pattern) rules, which come last. ``allowed``
+    is each row's array of types, null for all; a rule takes the place of the built-in pattern of its name there."""
+    chosen = [(n, p, P.PRIORITY[n]) for n, p in P.BUILT_IN if types is None or n in types] + [(n, p, 100 + k) for k, (n, p) in enumerate(custom)]
+    own = {n for n, _ in custom}
 
+    def wanted(name: str, priority: int) -> Column | None:
+        if allowed is None:
+            return None
+        return allowed.isNull() if name in own and priority < 100 else allowed.isNull() | F.array_contains(allowed, name)
 
-def spans_of_both(text: Column, folded: Column, types: tuple[str, ...] | None = None, custom: tuple[tuple[str, str], ...] = ()) -> Column:
+    return F.flatten(F.array(*[pattern_spans(text, n, p, k, wanted(n, k)) for n, p, k in chosen]))
+
+
+def spans_of_both(text: Column, folded: Column, types: tuple[str, ...] | None = None, custom: tuple[tuple[str, str], ...] = (), allowed: Column | None = None) -> Column:
     """Spans that the patterns find in a text and, where it differs, in its copy with look-alikes folded, one character for one; all
     name the text's own. The patterns stand in the plan once, for both."""
     own = lambda s: F.struct(s["start"], s["end"], s["entity_type"], F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("matched"), s["priority"])
     both = F.array_compact(F.array(text, F.when(folded != text, folded)))
-    return F.transform(F.flatten(F.transform(both, lambda t: tier1(t, types, custom))), own)
+    return F.transform(F.flatten(F.transform(both, lambda t: tier1(t, types, custom, allowed))), own)
 
 
-def with_spans(df: DataFrame, text: str = "text", types: tuple[str, ...] | None = None, secrets: bool = True, custom: tuple[tuple[str, str], ...] = (), out: str = "spans", encoded: bool | None = None, table: tuple[str, str] | None = None) -> DataFrame:
+def with_spans(df: DataFrame, text: str = "text", types: tuple[str, ...] | None = None, secrets: bool = True, custom: tuple[tuple[str, str], ...] = (), out: str = "spans", encoded: bool | None = None, table: tuple[str, str] | None = None, allowed: str | None = None) -> DataFrame:
     """df with its resolved, completed spans in a column. The text is normalised first and is so in the result, which the spans
     count in; patterns are tried on it and on its copy with look-alikes folded (by a table, if given). With encoded (so if
-    no types are chosen), runs whose decoding holds a value are spans too. Each step is exploded from an array of one, or the optimizer would copy the whole of
+    no types are chosen), runs whose decoding holds a value are spans too. ``allowed`` names a column of each row's types (null: all);
+    secrets and encoded runs are not subject to it. Each step is exploded from an array of one, or the optimizer would copy the whole of
     it into every place that uses it."""
     from palimpsest.functions import encoded as E
     from palimpsest.functions import text as T
@@ -97,7 +106,7 @@ def with_spans(df: DataFrame, text: str = "text", types: tuple[str, ...] | None
     columns = df.columns
     t = F.col(text)
     d = df.withColumn(text, once(T.normalize(t)))
-    found = spans_of_both(t, T.fold_look_alikes(t, table), types, custom)
+    found = spans_of_both(t, T.fold_look_alikes(t, table), types, custom, F.col(allowed) if allowed else None)
     if secrets:
         found = F.concat(found, secret_spans(t))
     if types is None if encoded is None else encoded:

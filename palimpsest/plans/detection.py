@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import detect as D
 from palimpsest.functions import text as T
 from palimpsest.operators import masking as M
+from palimpsest.operators import profiles as R
 
 BASIC = ("EMAIL", "PHONE", "CREDIT_CARD", "IP_ADDRESS")
 KEY = b"palimpsest-test-key"
@@ -137,13 +138,53 @@ def confidences(spark, d):
     return f.groupBy("entity_type", D.confidence(F.col("entity_type"), F.col("matched")).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (assess_entity_counts, email_docs, ip_docs, entropy_tokens, secret_counts, luhn_numbers, iban_mod97, scrubbed, hmac_tokens, minted, restored, crypto_round_trip, mode_resolution, invisible_texts, watermarks, fingerprints, neutralized, percent_decoded, simple_tokens, confidences)}
+def profile_tables(spark, d):
+    """Tenants are the sources of documents, dealt by their last character to three profiles and one that does not exist; a rule of codes."""
+    last = F.ascii(F.substring(F.col("tenant"), -1, 1)) % 4
+    tenants = docs(spark, d).select(F.col("source").alias("tenant")).distinct().withColumn("profile", F.element_at(F.array(*map(F.lit, ("mail", "net", "nothing", "gone"))), last + 1))
+    profiles = spark.sql("SELECT * FROM VALUES ('mail', 1, 'EMAIL'), ('mail', 3, 'PERSON'), ('net', 1, 'IP_ADDRESS'), ('net', 1, 'PHONE'), ('net', 1, 'CREDIT_CARD'), ('net', 1, 'CODE'), ('net', 1, 'UNHEARD_OF'), ('nothing', 1, NULL) AS t(profile, tier, entity_type)")
+    rules = R.rules_of(spark.sql("SELECT 1 AS position, 'CODE' AS name, '[A-Z]{2,4}-[0-9]{2,6}' AS pattern"))
+    return tenants, profiles, rules
+
+
+def profile_docs(spark, d):
+    """Documents of each source in which each type that the source's profile asks for is found."""
+    tenants, profiles, rules = profile_tables(spark, d)
+    rows = R.scoped(docs(spark, d).select("source", "text"), "source", tenants, profiles, rules)
+    types = F.transform(D.tier1(F.col("text"), ("EMAIL", "IP_ADDRESS"), rules, F.col("allowed")), lambda s: s["entity_type"])
+    rows = rows.select("source", "profile", F.explode(F.array(F.array_distinct(types))).alias("types"))
+    has = lambda t: F.count_if(F.array_contains("types", t)).alias(f"{t.lower()}_docs")
+    return rows.groupBy("source", "profile").agg(F.count(F.lit(1)).alias("n"), has("EMAIL"), has("IP_ADDRESS"), has("CODE"))
+
+
+def profile_spans(spark, d):
+    """Resolved values of each document under its tenant's profile, over all built-in types and rules."""
+    tenants, profiles, rules = profile_tables(spark, d)
+    rows = R.scoped(docs(spark, d).select("doc_id", "source", "text"), "source", tenants, profiles, rules)
+    rows = D.with_spans(rows, "text", secrets=False, custom=rules, encoded=False, allowed="allowed").where(F.size("spans") > 0)
+    return rows.select("doc_id", "profile", F.explode("spans").alias("s")).select("doc_id", "profile", "s.start", "s.end", "s.entity_type", F.sha2("s.matched", 256).alias("value_sha256"))
+
+
+def profile_coverage(spark, d):
+    tenants, profiles, _ = profile_tables(spark, d)
+    return R.coverage(profiles, tenants)
+
+
+QUERIES = {f.__name__: f for f in (assess_entity_counts, email_docs, ip_docs, entropy_tokens, secret_counts, luhn_numbers, iban_mod97, scrubbed, hmac_tokens, minted, restored, crypto_round_trip, mode_resolution, invisible_texts, watermarks, fingerprints, neutralized, percent_decoded, simple_tokens, confidences, profile_docs, profile_spans, profile_coverage)}
 
 _HMAC = lambda m: f"sha256(from_hex('{bytes(b ^ 0x5C for b in KEY.ljust(64, bytes(1))).hex()}') || from_hex(sha256(from_hex('{bytes(b ^ 0x36 for b in KEY.ljust(64, bytes(1))).hex()}') || encode({m}))))"
 _EMAIL = r"(?:^|[^A-Za-z0-9_])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,}(?:[^A-Za-z0-9_]|$)"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 _IP = rf"(?:^|[^A-Za-z0-9_])(?:{_OCTET}\.){{3}}{_OCTET}(?:[^A-Za-z0-9_]|$)"
+_PROFILE = "CASE ascii(right(source, 1)) % 4 WHEN 0 THEN 'mail' WHEN 1 THEN 'net' WHEN 2 THEN 'nothing' ELSE 'global_strict' END"
 ORACLES = {
+    "profile_docs": f"""WITH p AS (SELECT source, text, {_PROFILE} AS profile FROM documents)
+      SELECT source, profile, count(*) AS n, count(*) FILTER (WHERE profile IN ('mail', 'global_strict') AND regexp_matches(text, '{_EMAIL}')) AS email_docs,
+      count(*) FILTER (WHERE profile IN ('net', 'global_strict') AND regexp_matches(text, '{_IP}')) AS ip_address_docs,
+      count(*) FILTER (WHERE profile IN ('net', 'global_strict') AND regexp_matches(text, '[A-Z]{{2,4}}-[0-9]{{2,6}}')) AS code_docs FROM p GROUP BY source, profile""",
+    "profile_coverage": f"""WITH t AS (SELECT DISTINCT source, {_PROFILE} AS profile FROM documents WHERE source IS NOT NULL),
+      p AS (SELECT * FROM (VALUES ('mail', 'PERSON'), ('net', ''), ('nothing', ''), ('global_strict', 'PERSON')) AS v(profile, expected))
+      SELECT profile, expected, expected <> '' AS expects_names, false AS model_loaded, expected <> '' AS unbacked, (SELECT count(*) FROM t WHERE t.profile = p.profile) AS n_tenants FROM p""",
     "email_docs": f"SELECT lang, count(*) FILTER (WHERE regexp_matches(text, '{_EMAIL}')) AS n_docs, count(*) AS n FROM documents GROUP BY lang",
     "ip_docs": f"SELECT source, count(*) FILTER (WHERE regexp_matches(text, '{_IP}')) AS n_docs FROM documents GROUP BY source",
     "entropy_tokens": """WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_+=-]{16,}')) AS token FROM documents),
