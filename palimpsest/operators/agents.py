@@ -19,14 +19,15 @@ SHORTEST, BOUND, NEAR_BITS, NEAR_RATIO, THRESHOLD = 50, 4096, 0.05, 0.95, 3
 
 @F.pandas_udf(BooleanType())
 def _alike(before: pd.Series, now: pd.Series) -> pd.Series:
-    """Nearly the same text, and not only other numbers in the same one."""
+    """Nearly the same text, and not only other numbers in the same one. The quick ratio counts characters wherever they stand, so it
+    only bounds: texts of the same characters in another order pass it, and the ratio of what matches in order decides."""
     out = []
     for a, b in zip(before, now):
         if a is None or b is None:
             out.append(False)
             continue
         m = difflib.SequenceMatcher(None, a, b)
-        if m.quick_ratio() <= NEAR_RATIO:
+        if m.quick_ratio() <= NEAR_RATIO or m.ratio() <= NEAR_RATIO:
             out.append(False)
             continue
         edits = [(a[i:j], b[k:n]) for tag, i, j, k, n in m.get_opcodes() if tag != "equal"]

@@ -15,6 +15,16 @@ def test_loops_by_text_and_numbers(spark):
     assert got == {("s", 1): (0, False), ("s", 2): (1, False), ("s", 3): (2, True), ("t", 1): (0, False), ("t", 2): (0, False)}
 
 
+def test_same_characters_in_another_order_are_no_loop(spark):
+    """Events 669645 and 670997: their payloads hold nearly the same characters, in digests that have nothing to do with each other."""
+    import hashlib
+
+    texts = [chr(97 + i % 26) * (60 + i % 7) + hashlib.md5(str(i).encode()).hexdigest() for i in (669645, 670997)]
+    assert difflib.SequenceMatcher(None, *texts).quick_ratio() > 0.95
+    turns = spark.createDataFrame([("s", 1, texts[0], ["view"]), ("s", 2, texts[1], ["click"])], "session string, turn int, payload string, calls array<string>")
+    assert [(r.run, r.tripped) for r in agents.loops(turns).orderBy("turn").collect()] == [(0, False), (0, False)]
+
+
 def test_mutation_round_trip_and_errors(spark):
     rows = [(1, '{"id": "k@example.com", "a": {"id": "k@example.com", "b": ["m@example.com", 1]}}'), (2, '{"a": "z@example.com", "_ctx_hash_a": 1}'), (3, None), (4, "{"), (5, "[" * 50 + "]" * 50)]
     df = spark.createDataFrame(rows, "payload_id long, payload string")
