@@ -9,6 +9,8 @@ from palimpsest.operators import governance
 from palimpsest.sources import frames, records
 from palimpsest.streaming import json_text, replay, replies, state
 
+CHUNKS_OF_TASK = 400_000
+
 
 def sse_parse(spark, d):
     body = F.concat(F.lit(": hi\r\ndata: "), F.translate("text", "\r\n", "  "), F.lit("\ndata:x\n\nevent: e\r\rdata\n\ndata: lost"))
@@ -46,9 +48,12 @@ def replies_restored(spark, d):
 
 def click_values(spark, d):
     """The values of each click's JSON properties, lexed from chunks of five characters."""
-    c = spark.read.parquet(f"{d}/clicks.parquet").where("props is not null").select(F.col("click_id").cast("string").alias("stream_id"), F.col("props")).groupBy("stream_id").agg(F.min("props").alias("props"))
+    c = spark.read.parquet(f"{d}/clicks.parquet").where("props is not null").select(F.col("click_id").cast("string").alias("stream_id"), F.col("props"))
+    # As many tasks as the chunks need: Spark would size them by the clicks, before these are cut.
+    n = (c.agg(F.sum(F.ceil(F.length("props") / 5))).first()[0] or 0) // CHUNKS_OF_TASK + 1
+    c = c.repartition(n, "stream_id").groupBy("stream_id").agg(F.min("props").alias("props"))
     chunks = c.select("stream_id", F.posexplode(F.regexp_extract_all("props", F.lit("(?s).{1,5}"), F.lit(0))).alias("seq", "delta")).withColumn("seq", F.col("seq").cast("long"))
-    v = json_text.values(json_text.batch_slices(chunks))
+    v = json_text.batch_values(chunks, partitions=n)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value", "text"))), lambda x: x["text"]), "|")
     return v.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_values"), F.md5(joined).alias("values_md5"))
 

@@ -116,9 +116,19 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["stream_id", "seq", "n", "value", "text", "error"]).astype({"value": "Int64"})
 
 
-def batch_slices(chunks: DataFrame, max_depth: int = 256) -> DataFrame:
-    """chunks(stream_id, seq, delta), a table, to rows of SLICES. Sorted chunks are walked with one lexer's state in hand."""
-    rows = chunks.select("stream_id", "seq", "delta").repartition("stream_id").sortWithinPartitions("stream_id", "seq", "delta")
+def _sorted(chunks: DataFrame, partitions: int | None) -> DataFrame:
+    """Chunks of a stream together and in order, in a number of partitions, or as many as Spark takes."""
+    rows = chunks.select("stream_id", "seq", "delta")
+    return (rows.repartition(partitions, "stream_id") if partitions else rows.repartition("stream_id")).sortWithinPartitions("stream_id", "seq", "delta")
+
+
+def batch_slices(chunks: DataFrame, max_depth: int = 256, partitions: int | None = None) -> DataFrame:
+    """chunks(stream_id, seq, delta), a table, to rows of SLICES. Sorted chunks are walked with one lexer's state in hand.
+
+    Chunks that were cut out of a grouped table lie in partitions that Spark sized before the cut; ``partitions`` keeps their number in
+    proportion to the chunks (a table already in so many partitions by ``stream_id`` is not moved again).
+    """
+    rows = _sorted(chunks, partitions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, lexer = object(), None
@@ -135,6 +145,35 @@ def batch_slices(chunks: DataFrame, max_depth: int = 256) -> DataFrame:
     return rows.mapInPandas(run, SLICES)
 
 
+def batch_values(chunks: DataFrame, max_depth: int = 256, partitions: int | None = None) -> DataFrame:
+    """values(batch_slices(chunks)), put together in the walk: one row leaves for each value, and at most one value is open."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, lexer, number, text = object(), None, -1, []
+        for pdf in batches:
+            out = []
+            for stream, seq, delta in pdf.itertuples(index=False, name=None):
+                stream = stream if isinstance(stream, str) else None
+                if stream != name:
+                    if text:
+                        out.append((name, number, "".join(text)))
+                    name, lexer, number, text = stream, Lexer(max_depth=max_depth), -1, []
+                lexer, new = _rows(lexer, stream, seq, delta)
+                for _, _, _, value, piece, _ in new:
+                    if value is None or value < 0:
+                        continue
+                    if value != number and text:
+                        out.append((name, number, "".join(text)))
+                        text = []
+                    number = value
+                    text.append(piece)
+            yield pd.DataFrame(out, columns=["stream_id", "value", "text"])
+        if text:
+            yield pd.DataFrame([(name, number, "".join(text))], columns=["stream_id", "value", "text"])
+
+    return _sorted(chunks, partitions).mapInPandas(run, "stream_id string, value long, text string")
+
+
 def stream_slices(chunks: DataFrame, max_depth: int = 256) -> DataFrame:
     """The same over a stream of (stream_id, seq, delta, is_final); a stream's state goes with its final chunk."""
 
